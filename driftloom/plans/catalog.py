@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.plans import drift_queries, stream_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**stream_queries.Q, **drift_queries.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**stream_queries.O, **drift_queries.O}

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.plans import drift_queries, stream_queries
+from driftloom.plans import drift_queries, harness, stream_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**stream_queries.Q, **drift_queries.Q}
+    return {**stream_queries.Q, **drift_queries.Q, **harness.Q}
 
 
 def oracle_sql() -> dict[str, str]:

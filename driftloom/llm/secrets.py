@@ -92,7 +92,7 @@ def _tested(token: Column) -> Column:
     def count(xs: Column, f) -> Column:
         return F.size(F.filter(xs, f)).cast("double")
 
-    def stats(v: Column, a: Column, n: Column) -> Column:
+    def stats(v: Column, a: Column, n: Column, middle: Column) -> Column:
         half, quarter = a / 2, a / 4
         parts = [count(v, _in_part(quarter, k)) for k in range(4)]
         chi = sum(((p - n / 4) * (p - n / 4) for p in parts[1:]), (parts[0] - n / 4) * (parts[0] - n / 4)) / (n / 4)
@@ -102,7 +102,6 @@ def _tested(token: Column) -> Column:
         runs = count(pairs, lambda p: (p["x"] >= half) != (p["y"] >= half)) + 1
         expected = 2 * high * low / n + 1
         spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-3)))
-        middle = total(v) / n
         below = total(F.transform(v, lambda x: (x - middle) * (x - middle)))
         serial = total(F.transform(pairs, lambda p: (p["x"] - middle) * (p["y"] - middle))) / F.greatest(below, F.lit(1e-9)) * F.sqrt(n)
         z1, z2 = F.greatest(normal3(chi), F.lit(0.0)), (runs - expected) / spread
@@ -111,8 +110,9 @@ def _tested(token: Column) -> Column:
     length = F.lit(LENGTHS[0])
     for x in LENGTHS[1:]:
         length = F.when(n >= x, x).otherwise(length)
-    # one pass over a one-element array keeps the symbols from being worked out for each test anew
-    value = F.transform(F.array(F.struct(codes.alias("v"), size.cast("double").alias("a"), n.alias("n"))), lambda s: stats(s["v"], s["a"], s["n"]))[0]
+    # passes over a one-element array keep symbols and their mean from being worked out anew for each test and symbol
+    value = F.transform(F.array(F.struct(codes.alias("v"), size.cast("double").alias("a"), n.alias("n"))), lambda s: F.struct(s["v"].alias("v"), s["a"].alias("a"), s["n"].alias("n"), (total(s["v"]) / s["n"]).alias("m")))
+    value = F.transform(value, lambda s: stats(s["v"], s["a"], s["n"], s["m"]))[0]
     return F.struct(F.concat_ws(":", name, length.cast("string")).alias("cell"), (~bare.rlike("[0-9]")).alias("word"), value.alias("value"))
 
 

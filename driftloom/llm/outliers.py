@@ -71,6 +71,16 @@ def _distance(d: int) -> Column:
     return total
 
 
+SALTS = 16
+
+
+def _beside(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` with their key's row of a stored table. Spark broadcasts the table if its files are small enough; beyond that a
+    salt deals a hot key's rows over tasks, each with a copy of the key's row."""
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*(f"f{i}" for i in range(len(FEATURES)))), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def _factored(groups: DataFrame, settings: Settings) -> DataFrame:
     """From sums by key to mean and inverse Cholesky factor by key, shrunk to the pooled estimate, floors added."""
     d = len(settings.floors)
@@ -118,14 +128,16 @@ def reject_outliers(docs: DataFrame, settings: Settings | None = None) -> DataFr
     model = start.select("key", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(d)), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"r{i}{j}") for i in range(d) for j in range(i + 1)))
     model = stored(model, "centres")
     for _ in range(settings.steps):
-        near = good.join(model, "key").select("key", *(f"f{i}" for i in range(d)), _distance(d).alias("d2"))
-        bound = near.groupBy("key").agg(F.percentile_approx("d2", settings.share, settings.accuracy).alias("bound"))
-        inner = near.join(bound, "key").where("d2 <= bound")
+        near = _beside(good, model).select("key", *(f"f{i}" for i in range(d)), _distance(d).alias("d2"))
+        bound = stored(near.groupBy("key").agg(F.percentile_approx("d2", settings.share, settings.accuracy).alias("bound")), "bounds")
+        inner = _beside(near, bound).where("d2 <= bound")
         sums = inner.groupBy("key").agg(F.count("*").cast("double").alias("n"), *(F.sum(f"f{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)))
         model = stored(_factored(stored(sums, "sums"), settings), "centres")
-    far = good.join(model, "key").select("key", _distance(d).alias("d2"))
+    far = _beside(good, model).select("key", _distance(d).alias("d2"))
     middle = far.groupBy("key").agg((F.greatest(F.percentile_approx("d2", 0.5, settings.accuracy) / settings.median, F.lit(1.0))).alias("scale"))
-    model = model.join(middle, "key")
-    judged = rows.join(model, "key", "left").withColumn("distance", _distance(d) / F.col("scale"))
+    model = stored(model.join(middle, "key"), "model")
+    names = [f"f{i}" for i in range(d)]
+    judged = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).drop("key", *names)
+    judged = judged.unionByName(_beside(rows.where(~F.col("base_failed")), model).withColumn("distance", _distance(d) / F.col("scale")).select(*judged.columns))
     kept = ~F.col("base_failed") & (F.col("distance") <= settings.cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))

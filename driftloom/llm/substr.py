@@ -64,9 +64,9 @@ class Group:
         self.anchor = offset[self.at] % self.block == 0
         self.whole = (left >= window) & known
 
-    def suspects(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def suspects(self, found: np.ndarray, short_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of windows that hold a block whose short hash is in ``found`` or repeats an anchor here; their hashes."""
-        short = self.blocks >> np.uint64(64 - SHORT)
+        short = self.blocks >> np.uint64(64 - short_bits)
         values, which, count = np.unique(short, return_inverse=True, return_counts=True)
         anchors = np.zeros(len(values), bool)
         anchors[which[self.anchor]] = True
@@ -80,9 +80,8 @@ class Group:
         return start, rolling(self.hashes, self.window)[start] if len(start) else np.empty(0, np.uint64)
 
 
-#: Bits of a block's hash that are sent: those of the bucket, then 32 within it. A chance agreement only adds a suspect.
-BUCKET_BITS = 6
-SHORT = BUCKET_BITS + 32
+#: Bits of a block's hash that are sent within a bucket. A chance agreement only adds a suspect.
+WITHIN = 32
 _OUT = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _SCHEMA = "g long, kind int, bucket long, a binary, b binary, c binary"
 
@@ -103,16 +102,16 @@ def _g(table: pa.Table) -> int:
     return table.column("g")[0].as_py()
 
 
-def _probe(window: int):
+def _probe(window: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         """For each bucket the short hashes of all rolling blocks here, and which of them are anchors."""
         group = _group(table, window)
-        short = group.blocks >> np.uint64(64 - SHORT)
+        short = group.blocks >> np.uint64(64 - bits - WITHIN)
         values, which = np.unique(short, return_inverse=True)
         anchors = np.zeros(len(values), bool)
         anchors[which[group.anchor]] = True
         bucket = (values >> np.uint64(32)).astype(np.int64)
-        cuts, low = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)), values.astype(np.uint32)
+        cuts, low = np.searchsorted(bucket, np.arange((1 << bits) + 1)), values.astype(np.uint32)
         g = _g(table)
         return _rows([(g, 0, b, pack(low[i:j]), np.packbits(anchors[i:j]).tobytes(), None) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
 
@@ -144,13 +143,13 @@ def _found(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *parts])
 
 
-def _windows(window: int, buckets: int):
+def _windows(window: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """For each bucket the hashes of suspect windows here, each with the smallest id that has it here."""
         if not docs.num_rows:
             return _OUT.empty_table()
         group = _group(docs, window)
-        start, value = group.suspects(_found(answers))
+        start, value = group.suspects(_found(answers), bits + WITHIN)
         if not len(start):
             return _OUT.empty_table()
         ids = np.array([i if i is not None else 0 for i in group.ids], np.int64)
@@ -158,13 +157,14 @@ def _windows(window: int, buckets: int):
         value, least = value[order], ids[group.doc[start[order]]]
         first = np.concatenate([[True], value[1:] != value[:-1]])
         value, least = value[first], least[first]
-        names, code = np.unique(least, return_inverse=True)
-        code = code.astype(np.uint32)
-        bucket = (value >> np.uint64(40)).astype(np.int64) % buckets if buckets > 1 else np.zeros(len(value), np.int64)
+        bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
         g, out = _g(docs), []
-        for b in np.unique(bucket).tolist():
-            pick = bucket == b
-            out.append((g, 2, b, pack(value[pick]), pack(code[pick]), names.tobytes()))
+        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if j > i:
+                # of the ids of documents only those that this bucket names
+                ids_here, code = np.unique(least[i:j], return_inverse=True)
+                out.append((g, 2, b, pack(value[i:j]), pack(code.astype(np.uint32)), ids_here.tobytes()))
         return _rows(out)
 
     return run
@@ -190,13 +190,13 @@ def _least(table: pa.Table) -> pa.Table:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def _extend(window: int, text: bool):
+def _extend(window: int, bits: int, text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Join repeated windows to maximal repeats and leave their words out."""
         if not docs.num_rows:
             return _RESULT.empty_table()
         group = _group(docs, window)
-        start, value = group.suspects(_found(answers))
+        start, value = group.suspects(_found(answers), bits + WITHIN)
         gone = [unpack(r["a"], np.uint64) for r in answers.select(["kind", "a"]).to_pylist() if r["kind"] == 3]
         cover = np.zeros(len(group.hashes) + 1, np.int64)
         if len(start):
@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, groups_per_partition: int
     document it repeats. Short hashes of both meet in hash buckets, which answer to each group what another one anchors.
     Around those hits whole windows are compared by 64-bit hashes, which gives each window's smallest doc_id, and windows
     that follow one another grow to maximal repeats. A passage in any number of documents is one hash for each group.
-    The same shuffle of texts serves all steps.
+    The same shuffle of texts serves all steps; groups and buckets are as many as the session's shuffle partitions ask for, so
+    that a task's share stays the same as data and partitions grow.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the text, only if ``text``). Null text has no words. A row
     without doc_id keeps all words and takes none from others. Rows with an equal doc_id are one document in comparisons,
@@ -237,11 +238,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, groups_per_partition: int
     spark = docs.sparkSession
     ship(spark)
     parts = partitions(spark)
-    groups, buckets = parts * groups_per_partition, 1 << BUCKET_BITS
+    groups, bits = parts * groups_per_partition, max(6, (parts - 1).bit_length())
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = dealt.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).alias("g"), "doc_id", "text")
-    sent = dealt.groupBy("g").applyInArrow(_probe(window), _SCHEMA)
+    sent = dealt.groupBy("g").applyInArrow(_probe(window, bits), _SCHEMA)
     first = sent.groupBy("bucket").applyInArrow(_anchored, _SCHEMA)
-    suspects = dealt.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_windows(window, buckets), _SCHEMA)
+    suspects = dealt.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_windows(window, bits), _SCHEMA)
     second = suspects.groupBy("bucket").applyInArrow(_least, _SCHEMA)
-    return dealt.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(_extend(window, text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return dealt.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(_extend(window, bits, text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -36,7 +36,8 @@ def test_farthest_points():
     import numpy as np
 
     x = np.array([[0.0], [0.1], [5.0], [10.0]])
-    assert sampling.farthest_points(x, 3)[1] == 3 and sampling.farthest_points(x, 9) == [0, 1, 2, 3]
+    assert sampling.farthest_points(x, 3) == [2, 0, 3]  # nearest to the centroid; the first of equally far ones; the rest
+    assert sampling.farthest_points(x, 9) == [0, 1, 2, 3]
 
 
 def test_encode_width_nulls_and_label_independence(spark):

@@ -168,6 +168,33 @@ def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _blocks(benchmark: DataFrame, block_mb: int) -> list:
+    """The benchmark as broadcasts of at most ``block_mb`` MB of text each."""
+    context = benchmark.sparkSession.sparkContext
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    blocks, held, size = [], [], 0
+    for r in rows.toLocalIterator():
+        held.append((r["item"], r["text"].encode()))
+        size += len(held[-1][1])
+        if size >= block_mb << 20:
+            blocks.append(context.broadcast(held))
+            held, size = [], 0
+    return [*blocks, context.broadcast(held)]
+
+
+def _search(texts: list[bytes], blocks: list, ready: Phrases | None, window: int) -> tuple[list, list, list]:
+    """What ``find`` gives, over all blocks together."""
+    hits = items = None
+    for block in blocks:
+        words, hit, found = find(texts, ready or Phrases(block.value, window))
+        if hits is None:
+            hits, items = hit, found
+        else:
+            hits = [b if a is None else a if b is None else a | b for a, b in zip(hits, hit, strict=True)]
+            items = [a | b for a, b in zip(items, found, strict=True)]
+    return words, hits, items
+
+
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, clean string"
 
 
@@ -182,27 +209,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks, held, size = [], [], 0
-    for r in rows.toLocalIterator():
-        held.append((r["item"], r["text"].encode()))
-        size += len(held[-1][1])
-        if size >= block_mb << 20:
-            blocks.append(spark.sparkContext.broadcast(held))
-            held, size = [], 0
-    blocks.append(spark.sparkContext.broadcast(held))
+    blocks = _blocks(benchmark, block_mb)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Phrases(blocks[0].value, window) if len(blocks) == 1 else None
         for part in chunks(batches, "text"):
-            texts, hits, items = as_bytes(part, "text"), None, None
-            for block in blocks:
-                words, hit, found = find(texts, ready or Phrases(block.value, window))
-                if hits is None:
-                    hits, items = hit, found
-                else:
-                    hits = [b if a is None else a if b is None else a | b for a, b in zip(hits, hit, strict=True)]
-                    items = [a | b for a, b in zip(items, found, strict=True)]
+            texts = as_bytes(part, "text")
+            words, hits, items = _search(texts, blocks, ready, window)
             out: list[list] = [[] for _ in range(7)]
             for text, ws, h, found in zip(texts, words, hits, items, strict=True):
                 gone = spans(text, h) if h is not None else []
@@ -220,11 +233,23 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
     A document that is left without any word by the cut goes; every other row stays, in whatever number.
     """
-    found = decontaminate(docs, benchmark, window, clean=True).where("contaminated")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("clean").alias("_clean"), (F.col("n_hit") < F.col("n_words")).alias("_some"), F.sha2("clean", 256).alias("_h")).dropDuplicates(["_id", "_h"]).drop("_h")
-    out = docs.join(found, docs["doc_id"].cast("long") == F.col("_id"), "left").where(F.coalesce("_some", F.lit(True)))
-    changed = F.col("_id").isNotNull()
-    out = out.withColumn("text", F.when(changed, F.col("_clean")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    ship(docs.sparkSession)
+    blocks, columns = _blocks(benchmark, 16), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = Phrases(blocks[0].value, window) if len(blocks) == 1 else None
+        for part in chunks(batches, "text"):
+            texts = as_bytes(part, "text")
+            _, hits, _ = _search(texts, blocks, ready, window)
+            keep = [h is None or not h.all() for h in hits]
+            new = {i: cut(t, spans(t, h)).decode("utf-8", "replace") for i, (t, h) in enumerate(zip(texts, hits, strict=True)) if h is not None}
+            arrays = list(part.columns)
+            if new:
+                at = columns.index("text")
+                arrays[at] = pa.array([new.get(i, old) for i, old in enumerate(arrays[at].to_pylist())], arrays[at].type)
+                if "n_chars" in columns:
+                    at = columns.index("n_chars")
+                    arrays[at] = pa.array([len(new[i]) if i in new else old for i, old in enumerate(arrays[at].to_pylist())], arrays[at].type)
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -131,28 +131,39 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     a row; a null doc_id stays null; other columns are ignored.
     """
     settings = settings or Settings()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = F.concat(*(F.transform(F.col(kind), _as_span(k)) for k, (kind, *_) in enumerate(BASE)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", *(matches(F.col("text"), p, least, group).alias(kind) for kind, p, least, group in BASE), matches(F.col("text"), TOKEN, 20, 0).alias("tokens"))
-    rows = rows.select("doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in BASE), base.alias("base"), "tokens")
-    tested = F.transform(F.col("tokens"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _tested(t["hit"]).alias("test")))
-    rows = stored(rows.withColumn("tokens", tested), "secrets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = _searched(rows).drop("_text")
+    counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in BASE]
+    rows = stored(rows.select("doc_id", *counts, "_base", "_tokens"), "secrets")
+    rows = _decided(rows, _measured(rows, settings))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_key(F.col("_base")), 256).alias("base_sha256"), _key(F.col("_found")).alias("spans"), F.col("_found").alias("found"))
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    """``rows`` with the matches of each pattern in _text, their spans together (_base), and the tested tokens (_tokens)."""
+    rows = rows.select("*", *(matches(F.col("_text"), p, least, group).alias(f"_{kind}") for kind, p, least, group in BASE), matches(F.col("_text"), TOKEN, 20, 0).alias("_hits"))
+    base = F.concat(*(F.transform(F.col(f"_{kind}"), _as_span(k)) for k, (kind, *_) in enumerate(BASE)))
+    tested = F.transform(F.col("_hits"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _tested(t["hit"]).alias("test")))
+    return rows.withColumns({"_base": base, "_tokens": tested})
+
 
+def _measured(rows: DataFrame, settings: Settings) -> dict[str, float]:
+    """The limit of each cell, from counts of all documents by encoding, length and statistic: a table of fixed size."""
     width = settings.worst / settings.steps
     step = F.floor(F.col("t.test.value") / width).cast("int")
-    cells = rows.select(F.explode("tokens").alias("t")).select(F.col("t.test.cell").alias("cell"), F.split("t.test.cell", ":")[1].alias("length"), F.col("t.test.word").alias("word"), F.when(F.col("t.test.value") < settings.worst, step).otherwise(settings.steps).alias("step"))
+    cells = rows.select(F.explode("_tokens").alias("t")).select(F.col("t.test.cell").alias("cell"), F.split("t.test.cell", ":")[1].alias("length"), F.col("t.test.word").alias("word"), F.when(F.col("t.test.value") < settings.worst, step).otherwise(settings.steps).alias("step"))
     table = cells.groupBy("cell", "length", "word", "step").agg(F.count("*").alias("n")).collect()  # encodings x lengths x steps at most
-    limits = _limits([(r["cell"], r["length"], r["word"], r["step"], r["n"]) for r in table], settings)
-    if limits:
-        cell = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-        limit = lambda t: F.coalesce(F.element_at(cell, t["test"]["cell"]), F.lit(-1.0))
-        good = F.filter(F.col("tokens"), lambda t: ~t["test"]["word"] & (t["test"]["value"] < limit(t)) & ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        added = F.transform(good, _as_span(len(BASE)))
-        rows = rows.withColumn("found", F.sort_array(F.concat("base", added)))
-    else:
-        rows = rows.withColumn("found", F.sort_array("base"))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_key(F.col("base")), 256).alias("base_sha256"), _key(F.col("found")).alias("spans"), "found")
+    return _limits([(r["cell"], r["length"], r["word"], r["step"], r["n"]) for r in table], settings)
+
+
+def _decided(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """``rows`` with _found: base spans and those of tokens under their limit, in order."""
+    if not limits:
+        return rows.withColumn("_found", F.sort_array("_base"))
+    cell = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
+    limit = lambda t: F.coalesce(F.element_at(cell, t["test"]["cell"]), F.lit(-1.0))
+    good = F.filter(F.col("_tokens"), lambda t: ~t["test"]["word"] & (t["test"]["value"] < limit(t)) & ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return rows.withColumn("_found", F.sort_array(F.concat("_base", F.transform(good, _as_span(len(BASE))))))
 
 
 def _limits(table: list[tuple[str, str, bool, int, int]], settings: Settings) -> dict[str, float]:
@@ -174,9 +185,13 @@ def _limits(table: list[tuple[str, str, bool, int, int]], settings: Settings) ->
 def redact(docs: DataFrame, mark: str = "[SECRET]", settings: Settings | None = None) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by ``mark``, and n_chars of the new text where present.
 
-    Rows without spans, and rows without an id, stay as they are but for their own spans.
+    Rows without spans stay as they are. Limits are counted first; then spans are found again where the texts are, so that no
+    text is shuffled.
     """
-    found = scan(docs, settings).select(F.col("doc_id").alias("_id"), F.col("found").alias("_found")).where(F.size("found") > 0).dropDuplicates(["_id", "_found"])
+    settings = settings or Settings()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    limits = _measured(stored(_searched(docs.select(text.alias("_text"))).select("_tokens"), "tokens"), settings)
+    out = _decided(_searched(docs.withColumn("_text", text)), limits)
     kind = "struct<at:int,out:string>"
 
     def step(state: Column, s: Column) -> Column:
@@ -186,7 +201,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", settings: Settings | None =
 
     done = F.aggregate(F.col("_found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step)
     clean = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    out = docs.join(found, docs["doc_id"] == found["_id"], "left").withColumn("text", F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text")))
+    hit = F.size("_found") > 0
+    out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

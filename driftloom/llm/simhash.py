@@ -219,7 +219,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each component keep the document with the smallest id, once; rows without an id stay."""
     found = near_duplicates(docs)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = stored(keep, "kept")
+    # a merge join at every size: the ids that stay are as many as the documents, so never to be broadcast
+    keep = stored(keep, "kept").hint("merge")
     out = docs.where("doc_id is null").unionByName(docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
     if keep.where("n > 1").isEmpty():
         return out

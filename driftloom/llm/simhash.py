@@ -217,7 +217,11 @@ def fp_hex(fp: F.Column) -> F.Column:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each component keep the document with the smallest id, once; rows without an id stay."""
-    found = near_duplicates(docs)
+    return keep_smallest(docs, near_duplicates(docs))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names its component in ``found``, each id once, and the rows without an id."""
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     # a merge join at every size: the ids that stay are as many as the documents, so never to be broadcast
     keep = stored(keep, "kept").hint("merge")

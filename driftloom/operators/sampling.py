@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftloom.functions.hashing import rank_key
+from driftloom.sources.stored import stored
 
 
 def mark_by_hash(df: DataFrame, keys: list[str], n: Column | int, seed: str, mark: str, row_id: str = "row_id", digits: int = 3) -> DataFrame:
@@ -96,20 +99,51 @@ def farthest_points(x: np.ndarray, n: int) -> list[int]:
 
 
 def select_farthest(df: DataFrame, capacity: int, features: str = "features") -> DataFrame:
-    """Of each stratum its quota of farthest points. Strata are first reduced to twice the capacity by hash, so that no
-    group is larger than that."""
-    bounded = stratified(df, 2 * capacity, "bound")
-    sizes = bounded.select("stratum").distinct()
-    sizes = sizes.withColumn("_q", quota(capacity, F.count("*").over(W.partitionBy()), F.row_number().over(W.orderBy("stratum")) - 1))
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_id")
-        order = farthest_points(np.stack(part[features].to_numpy()).astype(float), int(part["_q"].iloc[0]))
-        out = part.iloc[order][["row_id", "stratum"]].copy()
-        out["pick"] = np.arange(len(out))
-        return out
-
-    return bounded.join(F.broadcast(sizes), "stratum").groupBy("stratum").applyInPandas(pick, "row_id long, stratum int, pick long")
+    """Of each stratum its quota of farthest points among all its rows: row_id, stratum and pick, its place in the order.
+
+    The order is that of ``farthest_points`` over rows by row_id. A round finds the next point of every stratum: tasks
+    keep the best row of their own, and a maximum by stratum settles it. Only chosen rows, ``capacity`` at most, and a
+    centroid of each stratum that has a quota come to the driver.
+    """
+    spark = df.sparkSession
+    rows = stored(df.where("stratum is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("stratum").cast("int").alias("stratum"), F.col(features).cast("array<double>").alias("x")), "points")
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
+    n_strata, found = sizes.count(), sizes.orderBy("stratum").limit(capacity).collect()
+    each, more = divmod(capacity, max(1, n_strata))
+    want = {r["stratum"]: each + (k < more) for k, r in enumerate(found)}
+    small = [r["stratum"] for r in found if r["n"] <= want[r["stratum"]]]
+    large = [r["stratum"] for r in found if r["n"] > want[r["stratum"]] > 0]
+    out: list[tuple[int, int, int]] = []
+    order = W.partitionBy("stratum").orderBy("row_id")
+    out += [(r["row_id"], r["stratum"], r["pick"]) for r in rows.where(F.col("stratum").isin(small)).select("row_id", "stratum", (F.row_number().over(order) - 1).cast("long").alias("pick")).collect()]
+    centre = rows.where(F.col("stratum").isin(large)).select("stratum", F.posexplode("x").alias("i", "v")).groupBy("stratum", "i").agg(F.avg("v").alias("m"))
+    aims: dict[int, list] = {s: [[]] for s in large}
+    for r in centre.orderBy("stratum", "i").collect():
+        aims[r["stratum"]][0].append(r["m"])
+
+    def best(points: dict[int, list], sign: float):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top: dict[int, tuple] = {}
+            for part in parts:
+                for s, g in part.groupby("stratum"):
+                    if s not in points:
+                        continue
+                    x, ids = np.stack(g["x"].to_numpy()).astype(float), g["row_id"].to_numpy()
+                    gap = sign * np.min([((x - np.array(p)) ** 2).sum(axis=1) for p in points[s]], axis=0)
+                    at = np.flatnonzero(gap == gap.max())
+                    at = at[np.argmin(ids[at])]
+                    top[s] = max(top.get(s, (-np.inf, 0, None)), (float(gap[at]), -int(ids[at]), x[at].tolist()), key=lambda t: t[:2])
+            yield pd.DataFrame([(s, *t) for s, t in top.items()], columns=["stratum", "score", "back", "x"])
+
+        return rows.mapInPandas(run, "stratum int, score double, back long, x array<double>").groupBy("stratum").agg(F.max(F.struct("score", "back", "x")).alias("t")).collect()
+
+    for pick in range(max((want[s] for s in large), default=0)):
+        now = {s: p for s, p in aims.items() if pick < want[s]}
+        for r in best(now, 1.0 if pick else -1.0):
+            s, t = r["stratum"], r["t"]
+            aims[s] = [*aims[s], t["x"]] if pick else [t["x"]]
+            out.append((-t["back"], s, pick))
+    return spark.createDataFrame(out, "row_id long, stratum int, pick long")
 
 
 def replay_update(buffer: DataFrame, batch: DataFrame, capacity: int) -> DataFrame:

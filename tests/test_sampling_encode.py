@@ -40,6 +40,21 @@ def test_farthest_points():
     assert sampling.farthest_points(x, 9) == [0, 1, 2, 3]
 
 
+def test_select_farthest_sees_all_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, strata = rng.normal(size=(900, 3)), [*(k % 3 for k in range(896)), 7, 7, 7, 7]
+    df = spark.createDataFrame([(i, s, v.tolist()) for i, (s, v) in enumerate(zip(strata, x, strict=True))], "row_id long, stratum int, features array<double>")
+    got = {(r["stratum"], r["pick"]): r["row_id"] for r in sampling.select_farthest(df.repartition(5), 22).collect()}
+    want = {}
+    for s, n in ((0, 6), (1, 6), (2, 5), (7, 5)):
+        ids = [i for i, t in enumerate(strata) if t == s]
+        want |= {(s, k): ids[j] for k, j in enumerate(sampling.farthest_points(x[ids], n))}
+    assert got == want
+    assert sampling.select_farthest(df.where("false"), 5).count() == 0
+
+
 def test_encode_width_nulls_and_label_independence(spark):
     fit = spark.createDataFrame([(1, "1.0", "a", 1.0), (2, None, None, 0.0), (3, "x", "b", 1.0), (4, "3.0", "a", 0.0)], "row_id int, v string, c string, y double")
     stats = encode.frozen_stats(fit, ["v", "gone"] if "gone" in fit.columns else ["v"])

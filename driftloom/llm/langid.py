@@ -26,7 +26,6 @@ class Settings:
     rounds: int = 30
     penalty: float = 1.0
     effective: float = 3.0
-    opening: int = 48
 
 
 def grams(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,21 +57,8 @@ class Mixture:
             # a document's repetitions count by their root: copied lines don't rule a language
             count[slots, at[lang]] += np.sqrt(n)
         self.p = (count / count.sum(0)).astype(np.float64) if self.langs else count
-        # whether labels of mixed texts follow the largest share or the language in which a text opens
-        self.by_opening = False
-        right = [0, 0]
-        for text, lang in rows:
-            found = self.infer(text)[2]
-            if len(found) > 1:
-                right[0] += max(found, key=lambda x: x[1])[0] == lang
-                right[1] += self.langs[self._opening(text, [at[x] for x, _ in found])] == lang
-        self.by_opening = right[1] > right[0]
         return self
 
-    def _opening(self, text: bytes, among: list[int]) -> int:
-        slots, n = grams(text.lstrip()[: self.settings.opening], self.settings.bits)
-        return among[int(np.argmax(n @ np.log(self.p[slots][:, among])))] if len(slots) else among[0]
-
     def shares(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Shares of the languages in p's columns, by expectation-maximisation, and the log likelihood reached."""
         k = p.shape[1]
@@ -90,7 +76,7 @@ class Mixture:
     def infer(self, text: bytes) -> tuple[str, float, list[tuple[str, float]]]:
         """The main language, its share times its certainty, and the set of languages with their shares.
 
-        The main language of a mixed text has the largest share, or is that of its opening where learned labels say so.
+        The main language of a mixed text has the largest share of the whole text.
         The set grows from the best single language by the one with the largest share among all, as long as the
         likelihood, taken for the effective number of independent trigrams, gains more than the penalty.
         """
@@ -112,7 +98,7 @@ class Mixture:
                 if (value - best) * weight <= cost:
                     break
                 chosen, best, share = [*chosen, k], value, trial
-        top = chosen.index(self._opening(text, chosen)) if self.by_opening and len(chosen) > 1 else int(np.argmax(share))
+        top = int(np.argmax(share))
         rest = np.delete(single, chosen[top])
         gap = (single[chosen[top]] - rest.max()) * weight if len(rest) else np.inf
         sure = 1 / (1 + np.exp(-min(max(gap, -30), 30))) if len(chosen) == 1 else 1.0

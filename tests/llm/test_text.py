@@ -77,6 +77,15 @@ def test_language(spark):
     assert set(found) == {"aa", "cc"} and found["aa"] == pytest.approx(0.5, abs=0.2)
 
 
+def test_mixed_text_goes_by_its_largest_share():
+    langs = sorted(SYLLABLES)
+    rows = [(words(langs[i % 3], 40).encode(), langs[i % 3]) for i in range(120)]
+    # labels of mixed texts that follow their openings must not turn the verdict of others
+    rows += [((words("cc", 60) + " " + words("aa", 90)).encode(), "cc") for _ in range(6)]
+    lang, score, found = langid.Mixture(langid.Settings()).fit(rows).infer((words("cc", 60) + " " + words("aa", 240)).encode())
+    assert lang == "aa" and dict(found).keys() == {"aa", "cc"} and score == max(dict(found).values())
+
+
 def test_statistics_and_outliers(spark):
     rows = [(i, words("aa", 120), "en", "s1") for i in range(80)] + [(100 + i, " ".join(w + "$$$" for w in words("aa", 120).split()), "en", "s1") for i in range(6)]
     rows += [(200, None, None, None), (201, "", "en", None), (202, "a b c a b c\n\na b c\n a b c \na b c", "en", "s2"), (203, " \x0b ", "x", "y"), (204, words("aa", 20000), "en", "s1"), (5, rows[5][1], "en", "s1")]

@@ -146,9 +146,30 @@ def select_farthest(df: DataFrame, capacity: int, features: str = "features") ->
     return spark.createDataFrame(out, "row_id long, stratum int, pick long")
 
 
-def replay_update(buffer: DataFrame, batch: DataFrame, capacity: int) -> DataFrame:
+def replay_update(buffer: DataFrame | None, batch: DataFrame, capacity: int, features: str | None = None) -> DataFrame:
     """The next version of a replay buffer: a batch over the capacity is cut to it by strata, joined to the buffer, and the
-    union cut again. Columns row_id, stratum and whatever both have."""
-    cut = stratified(batch, capacity, "in")
-    return stratified(buffer.unionByName(cut), capacity, "keep")
+    union cut again. Columns row_id, stratum and whatever both have; no buffer is an empty one.
 
+    With ``features`` (and y, row_id unique) strata are assigned anew on the batch, on the union and on what is kept, and
+    farthest points fill their quotas; without, strata are taken as they are and rows are drawn by hash.
+    """
+    if features is None:
+        cut = stratified(batch, capacity, "in")
+        return stratified(cut if buffer is None else buffer.unionByName(cut), capacity, "keep")
+
+    def cut_to(df: DataFrame) -> DataFrame:
+        if df.count() <= capacity:
+            return df
+        chosen = select_farthest(restrata(df), capacity, features)
+        return df.join(F.broadcast(chosen.select("row_id")), "row_id", "left_semi")  # ``capacity`` ids at most
+
+    batch = cut_to(batch.drop("stratum"))
+    kept = cut_to(stored(batch if buffer is None else buffer.drop("stratum").unionByName(batch), "union"))
+    return stored(restrata(kept), "replay")
+
+
+def restrata(df: DataFrame) -> DataFrame:
+    """``df`` with the strata of y among all its rows, whatever their batches."""
+    rest = [c for c in df.columns if c not in ("stratum", "batch_id")]
+    whole = strata(df.select(*rest, F.col("batch_id").alias("_batch"), F.lit(0).alias("batch_id")))
+    return whole.select(*rest, F.col("_batch").alias("batch_id"), F.col("stratum").cast("int").alias("stratum"))

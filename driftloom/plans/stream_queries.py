@@ -14,6 +14,7 @@ from driftloom.plans.sqltext import QS, hash_rank, norm, sql
 from driftloom.plans.sqltext import hash_bin as sql_bin
 from driftloom.plans.sqltext import r6 as R
 from driftloom.sources import generators, streams
+from driftloom.sources.stored import stored
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -357,10 +358,14 @@ def fps_select(spark, sf_dir):
 
 @query()
 def replay_update(spark, sf_dir):
-    e = sampling.strata(streams.events(spark, sf_dir)).select("row_id", "stratum", "y", "batch_id")
-    buffer = sampling.stratified(e.where("batch_id = 0"), 150, "in")
-    for b in (1, 2):
-        buffer = sampling.replay_update(buffer, e.where(F.col("batch_id") == b), 150)
-    return buffer
-
-
+    """The buffer of 150 rows after every batch of the stream, its features encoded with statistics of the first one."""
+    e = streams.events(spark, sf_dir)
+    batches = [r["batch_id"] for r in e.select("batch_id").where("batch_id is not null").distinct().orderBy("batch_id").collect()]  # a row per batch
+    numeric, categories = ["x0", "x1", "x2"], ["cat"]
+    encoded = encode.encode(e, encode.frozen_stats(e.where(F.col("batch_id") == min(batches, default=0)), numeric), ["row_id", "y", "batch_id"], numeric, categories)
+    rows = stored(encoded.select("row_id", "y", "batch_id", F.array(*encode.feature_names(numeric, categories)).alias("features")), "replay-rows")
+    buffer = None
+    for b in batches:
+        buffer = sampling.replay_update(buffer, rows.where(F.col("batch_id") == b), 150, "features")
+    buffer = sampling.restrata(rows) if buffer is None else buffer
+    return buffer.select("row_id", "stratum", "y", "batch_id")

@@ -55,6 +55,42 @@ def test_select_farthest_sees_all_rows(spark):
     assert sampling.select_farthest(df.where("false"), 5).count() == 0
 
 
+def test_replay_query_folds_every_batch_by_farthest_points(spark, tmp_path):
+    import numpy as np
+
+    from driftloom.plans import stream_queries
+    from driftloom.sources import streams
+
+    rows = [(i, f"2024-01-{1 + i // 100 * 5:02d} 0{i % 10}:00:00", i % 7, "ab"[i % 2], float(i * 37 % 101), '{"k": %d}' % (i * 13 % 29)) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "timestamp(ts) ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    names = encode.feature_names(["x0", "x1", "x2"], ["cat"])
+    e = streams.events(spark, str(tmp_path))
+    stats = encode.frozen_stats(e.where("batch_id = 0"), ["x0", "x1", "x2"])
+    given = encode.encode(e, stats, ["row_id", "y", "batch_id"], ["x0", "x1", "x2"], ["cat"]).orderBy("row_id").toPandas()
+    x, y = given[names].to_numpy(float), given["y"].to_numpy()
+
+    def strata(ids):
+        q = np.quantile(y[ids], np.linspace(0, 1, 11))
+        edges = np.unique([q[0] - 1e-9, *np.round(q[1:-1], 9), q[-1] + 1e-9])
+        return np.clip(np.digitize(y[ids], edges) - 1, 0, 9)
+
+    def cut(ids):
+        if len(ids) <= 150:
+            return ids
+        s, out = strata(ids), []
+        for v in np.unique(s):
+            own = ids[s == v]
+            out += own[sampling.farthest_points(x[own], 15)].tolist()
+        return np.array(sorted(out))
+
+    keep = np.empty(0, int)
+    for b in range(4):
+        keep = cut(np.array(sorted([*keep, *cut(given.index[given["batch_id"] == b].to_numpy())]), int))
+    got = {r["row_id"]: (r["stratum"], r["batch_id"]) for r in stream_queries.Q["replay_update"](spark, str(tmp_path)).collect()}
+    assert {b for _, b in got.values()} == {0, 1, 2, 3}
+    assert got == {int(i): (int(s), int(given["batch_id"][i])) for i, s in zip(keep, strata(keep), strict=True)}
+
+
 def test_encode_width_nulls_and_label_independence(spark):
     fit = spark.createDataFrame([(1, "1.0", "a", 1.0), (2, None, None, 0.0), (3, "x", "b", 1.0), (4, "3.0", "a", 0.0)], "row_id int, v string, c string, y double")
     stats = encode.frozen_stats(fit, ["v", "gone"] if "gone" in fit.columns else ["v"])

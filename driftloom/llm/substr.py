@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import as_bytes, partitions, ship
+from driftloom.llm.common import as_bytes, chunks, partitions, ship
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a block's hash that are sent beside its bucket's. A chance agreement only adds a suspect.
+WITHIN = 31
+#: Kinds of rows: an answer about anchors, suspect windows, an answer about windows, a group's note to itself.
+PROBE, ANCHORED, WINDOWS, GONE, NOTE = range(5)
+_OUT = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+_SCHEMA = "bucket long, g long, kind int, a binary, b binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,217 +41,318 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted integers by byte planes: the high planes hardly change and compress away in the shuffle."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+# -- rows of packed values ---------------------------------------------------------------------------------------------
 
 
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``data`` cut to one binary value a row, of ``sizes`` elements each."""
+    cuts = np.concatenate([[0], np.cumsum(sizes * data.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-class Group:
-    """The documents of one group: word hashes in a row, document bounds, and where anchors and windows may start."""
+def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a binary column in a row, and how many each of its rows has."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if cuts[0] == cuts[-1]:
+        return np.empty(0, kind), np.diff(cuts)
+    return np.frombuffer(column.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].copy().view(kind), np.diff(cuts) // np.dtype(kind).itemsize
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], window: int):
-        self.ids, self.window, self.block = ids, window, (window + 1) // 2
-        self.words = [t.split() for t in texts]
-        size = np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.ends = np.cumsum(size)
-        self.starts = self.ends - size
-        flat = [w for ws in self.words for w in ws]
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = np.fromiter(map(digest, flat), np.uint64, len(flat))
-        self.doc = np.repeat(np.arange(len(texts)), size)
-        offset = np.arange(len(flat)) - self.starts[self.doc]
-        left = self.ends[self.doc] - np.arange(len(flat))
-        known = np.array([i is not None for i in ids], bool)[self.doc] if len(flat) else np.empty(0, bool)
-        blocks = rolling(self.hashes, self.block)
-        self.at = np.flatnonzero((left >= self.block) & known)  # where a block lies within one document
-        self.blocks = blocks[self.at] if len(self.at) else np.empty(0, np.uint64)
-        self.anchor = offset[self.at] % self.block == 0
-        self.whole = (left >= window) & known
-
-    def suspects(self, found: np.ndarray, short_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows that hold a block whose short hash is in ``found`` or repeats an anchor here; their hashes."""
-        short = self.blocks >> np.uint64(64 - short_bits)
-        values, which, count = np.unique(short, return_inverse=True, return_counts=True)
-        anchors = np.zeros(len(values), bool)
-        anchors[which[self.anchor]] = True
-        hit = (anchors & (count > 1)) | np.isin(values, found)
-        mark = np.zeros(len(self.hashes) + 1, np.int64)
-        mark[self.at[hit[which]] + 1] = 1
-        total = np.cumsum(mark)
-        span = self.window - self.block + 1
-        start = np.flatnonzero(self.whole)
-        start = start[total[start + span] > total[start]]
-        return start, rolling(self.hashes, self.window)[start] if len(start) else np.empty(0, np.uint64)
 
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the flags of rows stand if each row begins a byte, and the bytes of each row."""
+    wide = -(-sizes // 8)
+    return np.repeat(np.cumsum(wide) * 8 - wide * 8 - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), wide
 
-#: Bits of a block's hash that are sent within a bucket. A chance agreement only adds a suspect.
-WITHIN = 32
-_OUT = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_SCHEMA = "g long, kind int, bucket long, a binary, b binary, c binary"
 
+def _bits(flags: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    place, wide = _places(sizes)
+    out = np.zeros(int(wide.sum()) * 8, bool)
+    out[place] = flags
+    return _binary(np.packbits(out), wide)
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT) if rows else _OUT.empty_table()
 
+def _flags(column: pa.Array | pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(_flat(column, np.uint8)[0]).astype(bool)[_places(sizes)[0]]
 
-def _group(table: pa.Table, window: int) -> Group:
-    ids, texts = [], []
-    for batch in table.to_batches():
-        ids += batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        texts += as_bytes(batch, "text")
-    return Group(ids, texts, window)
 
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(sorted_keys)))
 
-def _g(table: pa.Table) -> int:
-    return table.column("g")[0].as_py()
 
+def _table(bucket: np.ndarray, g: np.ndarray | int, kind: int, a: pa.Array, b: pa.Array | None = None) -> pa.Table:
+    n = len(bucket)
+    g = np.full(n, g, np.int64) if np.isscalar(g) else g
+    return pa.Table.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(g), pa.array(np.full(n, kind, np.int32)), a, pa.nulls(n, pa.binary()) if b is None else b], schema=_OUT)
 
-def _probe(window: int, bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        """For each bucket the short hashes of all rolling blocks here, and which of them are anchors."""
-        group = _group(table, window)
-        short = group.blocks >> np.uint64(64 - bits - WITHIN)
-        values, which = np.unique(short, return_inverse=True)
-        anchors = np.zeros(len(values), bool)
-        anchors[which[group.anchor]] = True
-        bucket = (values >> np.uint64(32)).astype(np.int64)
-        cuts, low = np.searchsorted(bucket, np.arange((1 << bits) + 1)), values.astype(np.uint32)
-        g = _g(table)
-        return _rows([(g, 0, b, pack(low[i:j]), np.packbits(anchors[i:j]).tobytes(), None) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
 
-    return run
+# -- a group of documents ----------------------------------------------------------------------------------------------
+
+
+class _Codes(dict):
+    """Numbers of distinct words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        return k
+
+
+class Group:
+    """The documents of one group: word digests in a row, document bounds, their distinct blocks, and their windows.
+
+    All that is exchanged about a group is in the order of sorted hashes, so that it doesn't depend on the order of rows.
+    """
 
+    def __init__(self, table: pa.Table, window: int, bits: int):
+        self.ids, self.copies, texts = [], [], []
+        for batch in table.to_batches():
+            self.ids += batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            self.copies += batch.column(batch.schema.get_field_index("copies")).to_pylist()
+            texts += as_bytes(batch, "text")
+        self.g, self.window, self.block, self.bits = table.column("g")[0].as_py(), window, (window + 1) // 2, bits
+        self.words = [t.split() for t in texts]
+        size = np.fromiter(map(len, self.words), np.int64, len(texts))
+        n = int(size.sum())
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        codes = _Codes()
+        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(self.words)), np.int64, n)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, codes)), "<u8").reshape(-1, 2)
+        self.high, self.low = (digests[code, k] for k in (0, 1)) if n else (np.empty(0, np.uint64),) * 2
+        self.doc = np.repeat(np.arange(len(texts)), size)
+        offset = np.arange(n) - self.starts[self.doc]
+        left = self.ends[self.doc] - np.arange(n)
+        self.at = np.flatnonzero(left >= self.block)  # where a block lies within one document
+        self.whole = left >= window
+        blocks = rolling(self.high, self.block)[self.at] if len(self.at) else np.empty(0, np.uint64)
+        self.values, self.which, count = np.unique(blocks >> np.uint64(64 - bits - WITHIN), return_inverse=True, return_counts=True)
+        self.anchors = np.zeros(len(self.values), bool)
+        self.anchors[self.which[offset[self.at] % self.block == 0]] = True
+        self.repeated = self.anchors & (count > 1)
+        self.buckets = (self.values >> np.uint64(WITHIN)).astype(np.int64)
+
+    def _spread(self, answers: pa.Table, buckets: np.ndarray) -> np.ndarray:
+        """Answers by bucket as a flag for each value; ``buckets`` are those of the values, in order."""
+        out = np.zeros(len(buckets), bool)
+        if answers.num_rows:
+            named = answers.column("bucket").to_numpy()
+            start = np.searchsorted(buckets, named)
+            sizes = np.searchsorted(buckets, named, "right") - start
+            out[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = _flags(answers.column("a"), sizes)
+        return out
+
+    def found(self, answers: pa.Table) -> np.ndarray:
+        """Which distinct blocks another group has too, as an anchor there or here."""
+        return self._spread(answers, self.buckets)
+
+    def suspect(self, found: np.ndarray) -> None:
+        """Windows around hits: their starts, and the distinct ones by digest with the smallest id of each."""
+        hit = (self.repeated | found)[self.which]
+        mark = np.zeros(len(self.high) + 1, np.int64)
+        mark[self.at[hit] + 1] = 1
+        total = np.cumsum(mark)
+        start = np.flatnonzero(self.whole)
+        self.start = start[total[start + self.window - self.block + 1] > total[start]]
+        if not len(self.start):
+            self.digest = np.empty((0, 2), np.uint64)
+            self.least, self.same, self.own = (np.empty(0, np.int64) for _ in range(3))
+            self.window_buckets = np.empty(0, np.int64)
+            return
+        high, low = rolling(self.high, self.window)[self.start], rolling(self.low, self.window)[self.start]
+        self.own = np.array(self.ids, np.int64)[self.doc[self.start]]
+        order = np.lexsort((self.own, low, high))
+        high, low = high[order], low[order]
+        first = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        self.digest = np.column_stack([high[first], low[first]])
+        self.least = self.own[order][first]
+        self.same = np.empty(len(order), np.int64)
+        self.same[order] = np.cumsum(first) - 1
+        self.window_buckets = (self.digest[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def gone(self, answers: pa.Table) -> np.ndarray:
+        """Words in windows that a smaller id has, here or elsewhere: windows that follow one another are one repeat."""
+        cover = np.zeros(len(self.high) + 1, np.int64)
+        if len(self.start):
+            elsewhere = self._spread(answers, self.window_buckets)
+            hit = self.start[((self.least[self.same] < self.own) | elsewhere[self.same])]
+            np.add.at(cover, hit, 1)
+            np.add.at(cover, hit + self.window, -1)
+        return np.cumsum(cover)[:-1] > 0
 
-def _anchored(table: pa.Table) -> pa.Table:
-    """In one bucket: to each group those of its hashes that are an anchor somewhere and occur in another group too."""
-    rows = table.select(["g", "bucket", "a", "b"]).to_pylist()
-    lists = [unpack(r["a"], np.uint32) for r in rows]
-    values, count = np.unique(np.concatenate(lists), return_counts=True)
-    values = values[count > 1]
-    anchors = np.zeros(len(values), bool)
-    for r, x in zip(rows, lists, strict=True):
-        mine = x[np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(x)).astype(bool)]
-        at = np.minimum(np.searchsorted(values, mine), max(len(values) - 1, 0))
-        if len(values):
-            anchors[at[values[at] == mine]] = True
-    values = values[anchors]
-    out = []
-    for r, x in zip(rows, lists, strict=True):
-        if len(both := np.intersect1d(x, values, assume_unique=True)):
-            out.append((r["g"], 1, r["bucket"], pack(both), None, None))
-    return _rows(out)
 
+def _probe(window: int, bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A row a bucket: the distinct rolling blocks here, each with a bit that tells whether it is an anchor."""
+        group = Group(table, window, bits)
+        start, sizes = _runs(group.buckets)
+        within = (group.values & np.uint64((1 << WITHIN) - 1)).astype(np.uint32) << np.uint32(1) | group.anchors
+        return _table(group.buckets[start], group.g, PROBE, _binary(within.astype(np.uint32), sizes))
 
-def _found(table: pa.Table) -> np.ndarray:
-    parts = [np.uint64(r["bucket"]) << np.uint64(32) | unpack(r["a"], np.uint32).astype(np.uint64) for r in table.select(["kind", "bucket", "a"]).to_pylist() if r["kind"] == 1]
-    return np.concatenate([np.empty(0, np.uint64), *parts])
+    return run
 
 
 def _windows(window: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """For each bucket the hashes of suspect windows here, each with the smallest id that has it here."""
+        """A row a bucket: digests of suspect windows here, each with its smallest id; and what was found, for later."""
         if not docs.num_rows:
             return _OUT.empty_table()
-        group = _group(docs, window)
-        start, value = group.suspects(_found(answers), bits + WITHIN)
-        if not len(start):
-            return _OUT.empty_table()
-        ids = np.array([i if i is not None else 0 for i in group.ids], np.int64)
-        order = np.lexsort((ids[group.doc[start]], value))
-        value, least = value[order], ids[group.doc[start[order]]]
-        first = np.concatenate([[True], value[1:] != value[:-1]])
-        value, least = value[first], least[first]
-        bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
-        g, out = _g(docs), []
-        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if j > i:
-                # of the ids of documents only those that this bucket names
-                ids_here, code = np.unique(least[i:j], return_inverse=True)
-                out.append((g, 2, b, pack(value[i:j]), pack(code.astype(np.uint32)), ids_here.tobytes()))
-        return _rows(out)
+        group = Group(docs, window, bits)
+        found = group.found(answers)
+        group.suspect(found)
+        start, sizes = _runs(group.window_buckets)
+        rows = _table(group.window_buckets[start], group.g, WINDOWS, _binary(group.digest.ravel(), 2 * sizes), _binary(group.least, sizes))
+        if not found.any():
+            return rows
+        note = _table(np.array([group.g % (1 << bits)]), group.g, NOTE, pa.array([np.packbits(found).tobytes()], pa.binary()))
+        return pa.concat_tables([rows, note])
 
     return run
 
 
-def _least(table: pa.Table) -> pa.Table:
-    """In one bucket: to each group one bit per window it sent, set where a smaller id elsewhere has the window."""
-    rows = table.select(["g", "bucket", "a", "b", "c"]).to_pylist()
-    values = [unpack(r["a"], np.uint64) for r in rows]
-    least = [np.frombuffer(r["c"], np.int64)[unpack(r["b"], np.uint32)] for r in rows]
-    every, which = np.unique(np.concatenate(values), return_inverse=True)
-    smallest = np.full(len(every), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, which, np.concatenate(least))
-    out, at = [], 0
-    for r, v, own in zip(rows, values, least, strict=True):
-        gone = smallest[which[at : at + len(v)]] < own
-        at += len(v)
-        if gone.any():
-            out.append((r["g"], 3, r["bucket"], pack(v[gone]), None, None))
-    return _rows(out)
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("copies", pa.int64())])
+_RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, copies long"
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+def _result(ids: list, words: list[list[bytes]], masks: list[list[bool] | None], copies: list[int], text: bool) -> pa.Table:
+    out: list[list] = [[] for _ in _RESULT]
+    for doc_id, own, mask, n in zip(ids, words, masks, copies, strict=True):
+        kept = b" ".join(own if mask is None else [w for w, gone in zip(own, mask, strict=True) if not gone])
+        row = (doc_id, len(own), sum(mask) if mask else 0, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text else None, n)
+        for column, x in zip(out, row, strict=True):
+            column.append(x)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RESULT, strict=True)], schema=_RESULT)
 
 
 def _extend(window: int, bits: int, text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """Join repeated windows to maximal repeats and leave their words out."""
+        """Extend hits to maximal repeats, window by window, and leave their words out."""
         if not docs.num_rows:
             return _RESULT.empty_table()
-        group = _group(docs, window)
-        start, value = group.suspects(_found(answers), bits + WITHIN)
-        gone = [unpack(r["a"], np.uint64) for r in answers.select(["kind", "a"]).to_pylist() if r["kind"] == 3]
-        cover = np.zeros(len(group.hashes) + 1, np.int64)
-        if len(start):
-            ids = np.array([i if i is not None else 0 for i in group.ids], np.int64)[group.doc[start]]
-            every, which = np.unique(value, return_inverse=True)
-            smallest = np.full(len(every), np.iinfo(np.int64).max)
-            np.minimum.at(smallest, which, ids)
-            hit = (smallest[which] < ids) | np.isin(every, np.concatenate([np.empty(0, np.uint64), *gone]))[which]
-            np.add.at(cover, start[hit], 1)
-            np.add.at(cover, start[hit] + window, -1)
-        covered = np.cumsum(cover)[:-1] > 0
-        out: list[list] = [[], [], [], [], []]
-        for doc_id, words, i, j in zip(group.ids, group.words, group.starts.tolist(), group.ends.tolist(), strict=True):
-            mask = covered[i:j]
-            removed = int(mask.sum())
-            kept = b" ".join(words if not removed else [w for w, gone_ in zip(words, mask.tolist(), strict=True) if not gone_])
-            for column, x in zip(out, (doc_id, j - i, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text else None), strict=True):
-                column.append(x)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RESULT, strict=True)], schema=_RESULT)
+        group = Group(docs, window, bits)
+        kind = answers.column("kind").to_numpy()
+        note = answers.filter(pa.array(kind == NOTE)).column("a").to_pylist()
+        found = np.unpackbits(np.frombuffer(note[0], np.uint8), count=len(group.values)).astype(bool) if note else np.zeros(len(group.values), bool)
+        group.suspect(found)
+        gone = group.gone(answers.filter(pa.array(kind == GONE)))
+        masks = [part.tolist() if (part := gone[i:j]).any() else None for i, j in zip(group.starts.tolist(), group.ends.tolist(), strict=True)]
+        return _result(group.ids, group.words, masks, group.copies, text)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, groups_per_partition: int = 4, text: bool = False) -> DataFrame:
+# -- buckets -----------------------------------------------------------------------------------------------------------
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[pa.Table]:
+    """Runs of at least ``least`` rows, where there are, with all rows of each bucket; rows come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column(0)[-1].as_py()
+        if sum(b.num_rows for b in held) < least or held[0].column(0)[0].as_py() == last:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(table.column(0).to_numpy(), last))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _answered(table: pa.Table, flags: np.ndarray, sizes: np.ndarray, kind: int) -> pa.Table:
+    """To each group whose row has a flag set a row with its flags."""
+    some = np.add.reduceat(flags.astype(np.int64), np.cumsum(sizes) - sizes) > 0 if len(sizes) else np.empty(0, bool)
+    return _table(table.column("bucket").to_numpy()[some], table.column("g").to_numpy()[some], kind, _bits(flags[np.repeat(some, sizes)], sizes[some]))
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each group which of its blocks are an anchor somewhere and occur in another group too."""
+    for table in _whole_buckets(batches):
+        sent, sizes = _flat(table.column("a"), np.uint32)
+        block = np.repeat(table.column("bucket").to_numpy(), sizes) << WITHIN | (sent >> np.uint32(1)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        start, count = _runs(block[order])
+        known = np.add.reduceat((sent[order] & np.uint32(1)).astype(np.int64), start) > 0
+        flags = np.empty(len(block), bool)
+        flags[order] = np.repeat(known & (count > 1), count)
+        yield from _answered(table, flags, sizes, ANCHORED).to_batches()
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each group which of its windows a smaller id has in another group. Notes pass."""
+    for table in _whole_buckets(batches):
+        kind = table.column("kind").to_numpy()
+        yield from table.filter(pa.array(kind == NOTE)).cast(_OUT).to_batches()
+        table = table.filter(pa.array(kind == WINDOWS)).combine_chunks()
+        if not table.num_rows:
+            continue
+        ids, sizes = _flat(table.column("b"), np.int64)
+        high, low = _flat(table.column("a"), np.uint64)[0].reshape(-1, 2).T
+        order = np.lexsort((low, high))
+        fresh = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+        smallest = np.minimum.reduceat(ids[order], np.flatnonzero(fresh))
+        flags = np.empty(len(ids), bool)
+        flags[order] = smallest[np.cumsum(fresh) - 1] < ids[order]
+        yield from _answered(table, flags, sizes, GONE).to_batches()
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, group_mb: float = 8.0, text: bool = False) -> DataFrame:
     """Drop words of windows of ``window`` words that also start in a document with a smaller doc_id.
 
-    Documents are dealt to groups by a hash of the id. Each group indexes the non-overlapping blocks of its documents as
-    anchors and probes with every rolling block; a block is half a window, so that each window holds a whole anchor of the
-    document it repeats. Short hashes of both meet in hash buckets, which answer to each group what another one anchors.
-    Around those hits whole windows are compared by 64-bit hashes, which gives each window's smallest doc_id, and windows
-    that follow one another grow to maximal repeats. A passage in any number of documents is one hash for each group.
-    The same shuffle of texts serves all steps; groups and buckets are as many as the session's shuffle partitions ask for, so
-    that a task's share stays the same as data and partitions grow.
+    Documents are dealt to groups of about ``group_mb`` MB of text by a hash. Each group indexes the non-overlapping blocks
+    of its documents as anchors and probes with every rolling block; a block is half a window, so that each window holds a
+    whole anchor of the document it repeats. Short hashes of both meet in buckets, which answer to each group what is an
+    anchor and stands in another group too. Around those hits whole windows are compared by 128-bit digests, which gives
+    each window's smallest doc_id; hits extend, window by window, to maximal repeats, whose words go. A passage in any number
+    of documents is one hash for each group.
+
+    A group sends a row for each bucket, of about 40 hashes: rows follow the words, whatever the number of partitions. One
+    shuffle of texts serves all three passes over them. Beyond 2 TB groups grow by the root of the text, and buckets with
+    them, so that groups and buckets both stay small enough for a task.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the text, only if ``text``). Null text has no words. A row
     without doc_id keeps all words and takes none from others. Rows with an equal doc_id are one document in comparisons,
-    each with its own result. Windows never cross documents; other columns are ignored; no rows give none.
+    each with its own result; rows equal in id and text, of any number, are compared once. Windows never cross documents;
+    other columns are ignored; no rows give none.
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
-    groups, bits = parts * groups_per_partition, max(6, (parts - 1).bit_length())
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).alias("g"), "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = rows.where("doc_id is not null")
+    sizes = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n"), F.sum("size")).first()
+    total = float(sizes[1] or 0)
+    group = max(group_mb * (1 << 20), math.sqrt(32 * total))
+    groups, bits = max(1, math.ceil(total / group)), max(6, int(math.log2(group / 240)))
+    known = known.groupBy("doc_id", "text").agg(F.count("*").alias("copies")) if (sizes[0] or 0) > 1 else known.withColumn("copies", F.lit(1).cast("long"))
+    dealt = known.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "doc_id", "text", "copies")
+
+    def by_bucket(sent: DataFrame) -> DataFrame:
+        return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+
     sent = dealt.groupBy("g").applyInArrow(_probe(window, bits), _SCHEMA)
-    first = sent.groupBy("bucket").applyInArrow(_anchored, _SCHEMA)
+    first = by_bucket(sent).mapInArrow(_anchored, _SCHEMA)
     suspects = dealt.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_windows(window, bits), _SCHEMA)
-    second = suspects.groupBy("bucket").applyInArrow(_least, _SCHEMA)
-    return dealt.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(_extend(window, bits, text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    second = by_bucket(suspects).mapInArrow(_least, _SCHEMA)
+    found = dealt.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(_extend(window, bits, text), _RESULT_SCHEMA)
+    if (sizes[0] or 0) > 1:
+        # a row for each copy, by thousands, so that no array is long
+        found = found.withColumn("k", F.explode(F.expr("sequence(0L, (copies - 1) div 1000)")))
+        found = found.withColumn("k", F.explode(F.expr("sequence(1L, least(1000L, copies - 1000 * k))")))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            words = [t.split() for t in as_bytes(part, "text")]
+            yield from _result([None] * len(words), words, [None] * len(words), [1] * len(words), text).to_batches()
+
+    lone = rows.where("doc_id is null").select("text").mapInArrow(plain, _RESULT_SCHEMA)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    return found.select(*columns).unionByName(lone.select(*columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,103 +19,188 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 32, 0),
 )
 ORDER = [*(b[0] for b in BASE), "random"]
-#: Tokens that the tests look at.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Alphabets by encoding, in the order in which they are inferred: what a token must match, its symbols in order.
+#: Lower bounds of the length classes; the first is the least length of a token that is tested.
+LENGTHS = (16, 20, 24, 32, 48, 64, 128, 256)
+#: Tokens that the tests look at, and the parts of one that separators part.
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LENGTHS[0]},}}"
+PART = f"[A-Za-z0-9]{{{LENGTHS[0]},}}"
+_DIGITS, _LOWER, _UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
+#: Encodings in the order in which they are inferred: what a token must match, and its symbols in order.
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
-    ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
-    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("BASE36", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base64", "^[0-9A-Za-z+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("hex", "^[0-9a-f]+$", _DIGITS + "abcdef"),
+    ("HEX", "^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("base26", "^[a-z]+$", _LOWER),
+    ("BASE26", "^[A-Z]+$", _UPPER),
+    ("base36", "^[0-9a-z]+$", _DIGITS + _LOWER),
+    ("BASE36", "^[0-9A-Z]+$", _DIGITS + _UPPER),
+    ("base52", "^[A-Za-z]+$", _UPPER + _LOWER),
+    ("base62", "^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS),
+    ("base64", "^[0-9A-Za-z+/_-]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
 )
-LENGTHS = (20, 24, 32, 40, 64, 128)
+#: Spans are gathered in runs of so many, as an array that grows by one at a time is copied each time.
+RUN = 256
+_SPAN = "struct<start:int,end:int,begin:int,stop:int,hit:string>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``fdr``: the share of words among flagged tokens that is allowed for each length and encoding; ``worst``: the
-    greatest statistic (chi-squared, three degrees of freedom) that may pass at all; ``steps`` of it are tried."""
+    """``fdr``: the rate of false discoveries allowed in each class of encoding and length; ``worst``: the statistic, minus
+    the log of Fisher's product, from which on no token passes (a random one is beyond 11.25 once in a thousand);
+    ``steps``: how finely it is counted; ``draws``: strings of ordinary text that each document gives to compare with."""
 
-    fdr: float = 0.01
-    worst: float = 12.0
-    steps: int = 24
+    fdr: float = 0.05
+    worst: float = 11.25
+    steps: int = 45
+    draws: int = 1
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once: lambda variables are not put into what refers to them."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs_of(xs: Column) -> Column:
+    """Numbers of the runs of ``RUN`` elements; ``xs`` has one at least."""
+    return F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int"))
+
+
+def _run(xs: Column, k: Column) -> Column:
+    return F.slice(xs, k * RUN + 1, F.lit(RUN))
 
 
 def matches(text: Column, pattern: str, least: int, group: int) -> Column:
-    """Leftmost non-overlapping matches that are long enough, as (start, end, match) in code points.
+    """Leftmost non-overlapping matches that are long enough: start and end in code points, begin and stop in bytes, hit.
 
-    What lies between matches gives the offsets: splitting and extracting find the same matches.
+    What lies between matches gives the offsets: splitting and extracting find the same matches. Offsets are summed within
+    runs of matches, and then over runs, so that time grows with the matches but for a small power.
     """
-    pieces = F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,hit:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")).cast(kind)
+    none = F.array().cast(f"array<{_SPAN}>")
+    kind = f"struct<at:int,byte:int,out:array<{_SPAN}>>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), none.alias("out")).cast(kind)
 
     def step(state: Column, piece: Column) -> Column:
         gap, hit = piece["gap"], piece["hit"]
-        start = state["at"] + F.length(gap)
-        end = start + F.coalesce(F.length(hit), F.lit(0))
+        start, begin = state["at"] + F.length(gap), state["byte"] + F.octet_length(gap)
+        end, stop = start + F.coalesce(F.length(hit), F.lit(0)), begin + F.coalesce(F.octet_length(hit), F.lit(0))
         size = F.length(F.regexp_extract(hit, pattern, group)) if group else F.length(hit)
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), hit.alias("hit")))
-        return F.struct(end.alias("at"), F.when(hit.isNotNull() & (size >= least), F.concat(state["out"], found)).otherwise(state["out"]).alias("out")).cast(kind)
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), begin.alias("begin"), stop.alias("stop"), hit.alias("hit")))
+        return F.struct(end.alias("at"), stop.alias("byte"), F.when(hit.isNotNull() & (size >= least), F.concat(state["out"], found)).otherwise(state["out"]).alias("out")).cast(kind)
+
+    bases = "struct<at:int,byte:int,all:array<struct<at:int,byte:int>>>"
+
+    def base(state: Column, run: Column) -> Column:
+        here = F.array(F.struct(state["at"].alias("at"), state["byte"].alias("byte")))
+        return F.struct((state["at"] + run["at"]).alias("at"), (state["byte"] + run["byte"]).alias("byte"), F.concat(state["all"], here).alias("all")).cast(bases)
+
+    def placed(runs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.array().cast("array<struct<at:int,byte:int>>").alias("all")).cast(bases)
+        both = F.arrays_zip(runs.alias("run"), F.aggregate(runs, first, base)["all"].alias("base"))
+        shifted = lambda z: F.transform(z["run"]["out"], lambda s: F.struct((s["start"] + z["base"]["at"]).alias("start"), (s["end"] + z["base"]["at"]).alias("end"), (s["begin"] + z["base"]["byte"]).alias("begin"), (s["stop"] + z["base"]["byte"]).alias("stop"), s["hit"].alias("hit")))
+        return F.flatten(F.transform(both, shifted))
+
+    pieces = F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    found = _once(pieces, lambda p: _once(F.transform(_runs_of(p), lambda k: F.aggregate(_run(p, k), zero, step)), placed))
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def replaced(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with the bytes of each span, in order of their begin, replaced by ``put(end of the spans before, span)``."""
+    one, many = "struct<at:int,out:string>", "struct<at:int,out:array<string>>"
+
+    def done(s: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            gap = F.substring(s["bytes"], state["at"] + 1, F.greatest(x["begin"] - state["at"], F.lit(0))).cast("string")
+            return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.concat(state["out"], gap, put(state["at"], x)).alias("out")).cast(one)
+
+        def run(state: Column, k: Column) -> Column:
+            inner = F.aggregate(_run(s["spans"], k), F.struct(state["at"].alias("at"), F.lit("").alias("out")).cast(one), step)
+            return _once(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(state["out"], F.array(i["out"])).alias("out")).cast(many))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(many)
+        return _once(F.aggregate(_runs_of(s["spans"]), zero, run), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(s["bytes"], d["at"] + 1, F.octet_length(s["bytes"])).cast("string")))
+
+    return F.when(F.size(spans) > 0, _once(F.struct(text.cast("binary").alias("bytes"), spans.alias("spans")), done)).otherwise(text)
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
+def _of(values: list, index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), index + 1)
 
-def _as_span(kind: int):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
+def _class(n: Column) -> Column:
+    out = F.lit(0)
+    for k, least in enumerate(LENGTHS[1:], 1):
+        out = F.when(n >= least, k).otherwise(out)
+    return out
+
+
+def _cell(encoding: Column, length: Column) -> Column:
+    return encoding * len(LENGTHS) + length
+
+
+def _upper_tail(z: Column) -> Column:
+    """1 - Phi(z), by the usual rational approximation of the error function."""
+    def tail(x: Column) -> Column:
+        t = 1 / (1 + 0.3275911 * x)
+        return 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
-def _in_part(width: Column, k: int):
-    return lambda x: F.floor(x / width) == k
+    x = F.least(F.abs(z), F.lit(30.0)) / (2**0.5)
+    return F.when(z >= 0, tail(x)).otherwise(1 - tail(x))
 
 
-def _tested(token: Column) -> Column:
-    """Encoding, length class, whether it is a plain word, and the statistic of the three tests.
+def statistic(token: Column, encoding: Column) -> Column:
+    """How unlike a random string over its encoding's alphabet a token is: minus the log of the product of three p-values.
 
-    Symbols are numbers in the encoding's alphabet. Chi-squared of their quarters against uniform shares, the number of
-    runs above and below the middle, and the correlation of neighbours are each turned into a standard normal deviate;
-    their squares add up to about chi-squared with three degrees of freedom for a random token.
+    Chi-squared of its symbols against equal shares (too uneven is unlike), the number of runs above and below the middle
+    of the alphabet, and the correlation of neighbours (both sides), each as a normal deviate with the mean and variance
+    that random strings of this length have.
     """
-    bare = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
-    name, size, symbols = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
-    for label, pattern, alphabet in reversed(ENCODINGS):
-        here = token.rlike(pattern)
-        name, size, symbols = F.when(here, label).otherwise(name), F.when(here, len(alphabet)).otherwise(size), F.when(here, alphabet).otherwise(symbols)
-    n = F.length(bare).cast("double")
-    codes = F.transform(F.split(bare, ""), lambda c: (F.instr(symbols, c) - 1).cast("double"))
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
-    def normal3(x: Column) -> Column:
-        return (F.pow(x / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27))
-
-    def count(xs: Column, f) -> Column:
-        return F.size(F.filter(xs, f)).cast("double")
-
-    def stats(v: Column, a: Column, n: Column, middle: Column) -> Column:
-        half, quarter = a / 2, a / 4
-        parts = [count(v, _in_part(quarter, k)) for k in range(4)]
-        chi = sum(((p - n / 4) * (p - n / 4) for p in parts[1:]), (parts[0] - n / 4) * (parts[0] - n / 4)) / (n / 4)
-        high = parts[2] + parts[3]
-        low = n - high
-        pairs = F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("x"), F.slice(v, 2, F.size(v)).alias("y"))
-        runs = count(pairs, lambda p: (p["x"] >= half) != (p["y"] >= half)) + 1
-        expected = 2 * high * low / n + 1
-        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-3)))
-        below = total(F.transform(v, lambda x: (x - middle) * (x - middle)))
-        serial = total(F.transform(pairs, lambda p: (p["x"] - middle) * (p["y"] - middle))) / F.greatest(below, F.lit(1e-9)) * F.sqrt(n)
-        z1, z2 = F.greatest(normal3(chi), F.lit(0.0)), (runs - expected) / spread
-        return F.when(n < 12, 1e9).otherwise(z1 * z1 + z2 * z2 + serial * serial)
-
-    length = F.lit(LENGTHS[0])
-    for x in LENGTHS[1:]:
-        length = F.when(n >= x, x).otherwise(length)
-    # passes over a one-element array keep symbols and their mean from being worked out anew for each test and symbol
-    value = F.transform(F.array(F.struct(codes.alias("v"), size.cast("double").alias("a"), n.alias("n"))), lambda s: F.struct(s["v"].alias("v"), s["a"].alias("a"), s["n"].alias("n"), (total(s["v"]) / s["n"]).alias("m")))
-    value = F.transform(value, lambda s: stats(s["v"], s["a"], s["n"], s["m"]))[0]
-    return F.struct(F.concat_ws(":", name, length.cast("string")).alias("cell"), (~bare.rlike("[0-9]")).alias("word"), value.alias("value"))
+    def with_symbols(s: Column) -> Column:
+        n = F.length(s["token"]).cast("double")
+        chars = F.split(s["token"], "")
+        squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s["token"], c, F.lit(""))), F.lit(2.0)))
+        sides = F.call_function("translate", s["token"], s["symbols"], s["sides"])
+        runs = F.length(F.regexp_replace(sides, "l+|h+", "r")).cast("double")
+        codes = F.transform(chars, lambda c: F.instr(s["symbols"], c).cast("double"))
+        return F.struct(n.alias("n"), F.length(s["symbols"]).cast("double").alias("k"), squares.alias("squares"), runs.alias("runs"), (F.length(sides) - F.length(F.replace(sides, F.lit("h"), F.lit("")))).cast("double").alias("high"), codes.alias("codes"))
+
+    def with_mean(s: Column) -> Column:
+        return F.struct(*(s[x].alias(x) for x in ("n", "k", "squares", "runs", "high", "codes")), (F.aggregate(s["codes"], F.lit(0.0), lambda a, x: a + x) / s["n"]).alias("mean"))
+
+    def tested(s: Column) -> Column:
+        n, k = s["n"], s["k"]
+        chi = (s["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        low = n - s["high"]
+        expected = 2 * s["high"] * low / n + 1
+        runs = (s["runs"] - expected) / F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-3)))
+        kind = "struct<last:double,both:double,own:double>"
+        sums = F.aggregate(s["codes"], F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("both"), F.lit(0.0).alias("own")).cast(kind), lambda a, x: _once(x - s["mean"], lambda d: F.struct(d.alias("last"), (a["both"] + a["last"] * d).alias("both"), (a["own"] + d * d).alias("own")).cast(kind)))
+        serial = _once(sums, lambda t: t["both"] / F.greatest(t["own"], F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(n))
+        least = lambda p: F.log(F.greatest(p, F.lit(1e-100)))
+        return -least(_upper_tail(chi)) - least(2 * _upper_tail(F.abs(runs))) - least(2 * _upper_tail(F.abs(serial)))
+
+    symbols = _of([e[2] for e in ENCODINGS], encoding)
+    sides = _of(["l" * (len(e[2]) // 2) + "h" * (len(e[2]) - len(e[2]) // 2) for e in ENCODINGS], encoding)
+    first = F.struct(token.alias("token"), symbols.alias("symbols"), sides.alias("sides"))
+    return _once(first, lambda a: _once(with_symbols(a), lambda b: _once(with_mean(b), tested)))
+
+
+def _with_encoding(t: Column) -> Column:
+    """A token's bare symbols and the number of its encoding, null if it is in none, as numbers are not, or too short."""
+    encoding = F.lit(None).cast("int")
+    for k in reversed(range(len(ENCODINGS))):
+        encoding = F.when(t["hit"].rlike(ENCODINGS[k][1]), k).otherwise(encoding)
+    bare = F.regexp_replace(F.translate(t["hit"], "-_", "+/"), "=+$", "")
+    encoding = F.when(~t["hit"].rlike("^[0-9]+=*$") & (F.length(bare) >= LENGTHS[0]), encoding)
+    return F.struct(*(t[x].alias(x) for x in ("start", "end", "begin", "stop", "parts")), bare.alias("bare"), encoding.alias("encoding"))
+
+
+def _tested(t: Column, at: Column) -> Column:
+    cell, value = _cell(t["encoding"], _class(F.length(t["bare"]))), F.when(t["encoding"].isNotNull(), statistic(t["bare"], t["encoding"]))
+    return F.struct(*(t[x].alias(x) for x in ("start", "end", "begin", "stop", "parts")), at.alias("at"), cell.alias("cell"), value.alias("value"))
+
+
+def _as_span(kind: int) -> Callable[[Column], Column]:
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["begin"].alias("begin"), s["stop"].alias("stop"))
 
 
 def _key(spans: Column) -> Column:
@@ -121,88 +208,121 @@ def _key(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, ORDER)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and found, the spans as an array of (start, kind, end).
+def searched(rows: DataFrame, text: Column, key: Column, settings: Settings) -> DataFrame:
+    """``rows`` (whose only columns are kept) with counts of base spans, these together (base) and the tested tokens.
 
-    Base patterns always stay. To them come tokens that a battery of randomness tests can't tell from random ones, with a
-    digit, outside base spans, and up to the statistic at which at most ``settings.fdr`` of what passes would be words: the
-    share of plain words of that length that pass, times the tokens tested. Word and token counts of all documents by
-    length, encoding and statistic are a table of fixed size. Null and empty texts have no spans. Repeated rows each give
-    a row; a null doc_id stays null; other columns are ignored.
+    Tokens are those of the text with base spans blanked, so that no token overlaps one. A token is followed by its parts
+    between separators, if it has some; parts tells how many, and is null for a part. After the tokens come strings of
+    ordinary text, which have no place (start is null), drawn by a hash of ``key``.
     """
-    settings = settings or Settings()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = _searched(rows).drop("_text")
-    counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in BASE]
-    rows = stored(rows.select("doc_id", *counts, "_base", "_tokens"), "secrets")
-    rows = _decided(rows, _measured(rows, settings))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_key(F.col("_base")), 256).alias("base_sha256"), _key(F.col("_found")).alias("spans"), F.col("_found").alias("found"))
+    kept, counts = rows.columns, [f"n_{kind}" for kind, *_ in BASE]
+    one = rows.select(*kept, *(matches(text, p, least, group).alias(f"{kind}_spans") for kind, p, least, group in BASE))
+    base = F.sort_array(F.concat(*(F.transform(F.col(f"{kind}_spans"), _as_span(k)) for k, (kind, *_) in enumerate(BASE))))
+    two = one.select(*kept, *(F.size(f"{kind}_spans").cast("long").alias(f"n_{kind}") for kind, *_ in BASE), base.alias("base"))
+    blank = replaced(text, F.col("base"), lambda at, x: F.repeat(F.lit(" "), F.greatest(x["stop"] - F.greatest(at, x["begin"]), F.lit(0))))
+    names = ("start", "end", "begin", "stop")
+
+    def with_parts(t: Column) -> Column:
+        own = F.when(t["hit"].rlike("[^A-Za-z0-9=]|=[^=]"), matches(t["hit"], PART, LENGTHS[0], 0)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        moved = lambda p: F.struct((t["start"] + p["start"]).alias("start"), (t["start"] + p["end"]).alias("end"), (t["begin"] + p["begin"]).alias("begin"), (t["begin"] + p["stop"]).alias("stop"), p["hit"].alias("hit"), F.lit(None).cast("int").alias("parts"))
+        return _once(own, lambda ps: F.concat(F.array(F.struct(*(t[x].alias(x) for x in names), t["hit"].alias("hit"), F.size(ps).alias("parts"))), F.transform(ps, moved)))
+
+    found = F.flatten(F.transform(_once(blank, lambda b: matches(b, TOKEN, LENGTHS[0], 0)), with_parts))
+    three = two.select(*kept, *counts, "base", F.transform(found, _with_encoding).alias("found"))
+    placeless = lambda x: F.struct(*(F.lit(None).cast("int").alias(n) for n in (*names, "parts")), x["bare"].alias("bare"), x["encoding"].alias("encoding"))
+    items = F.concat("found", F.transform(ordinary(text, key, settings), placeless))
+    return three.select(*kept, *counts, "base", F.transform(items, _tested).alias("tokens"))
+
+
+def ordinary(text: Column, key: Column, settings: Settings) -> Column:
+    """Strings of ordinary text to compare with: what a text has in an encoding's alphabet, at one place, bare and encoding.
+
+    Tokens long enough to be tested are left out of it. Encoding, length and place follow from a hash of ``key``; a text that
+    is too short gives none.
+    """
+    def draw(k: Column) -> Column:
+        mark = F.xxhash64(key, k)
+        encoding = F.pmod(mark, F.lit(len(ENCODINGS))).cast("int")
+        least = _of(list(LENGTHS), F.pmod(F.shiftright(mark, 40), F.lit(len(LENGTHS))).cast("int"))
+        cased = F.when(_of([e[0] in ("HEX", "BASE26", "BASE36") for e in ENCODINGS], encoding), F.upper(text)).when(_of([e[0] in ("hex", "base26", "base36") for e in ENCODINGS], encoding), F.lower(text)).otherwise(text)
+        bare = F.regexp_replace(cased, _of([f"{TOKEN}|[^{e[2]}]+" for e in ENCODINGS], encoding), F.lit(""))
+        place = lambda s: F.pmod(F.shiftright(s["mark"], 17), F.greatest(F.length(s["bare"]) - s["least"] + 1, F.lit(1))).cast("int") + 1
+        return _once(F.struct(bare.alias("bare"), encoding.alias("encoding"), least.alias("least"), mark.alias("mark")), lambda s: F.struct(F.when(F.length(s["bare"]) >= s["least"], F.substring(s["bare"], place(s), s["least"])).alias("bare"), s["encoding"].alias("encoding")))
 
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(settings.draws)), draw), lambda x: x["bare"].isNotNull())
 
-def _searched(rows: DataFrame) -> DataFrame:
-    """``rows`` with the matches of each pattern in _text, their spans together (_base), and the tested tokens (_tokens)."""
-    rows = rows.select("*", *(matches(F.col("_text"), p, least, group).alias(f"_{kind}") for kind, p, least, group in BASE), matches(F.col("_text"), TOKEN, 20, 0).alias("_hits"))
-    base = F.concat(*(F.transform(F.col(f"_{kind}"), _as_span(k)) for k, (kind, *_) in enumerate(BASE)))
-    tested = F.transform(F.col("_hits"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _tested(t["hit"]).alias("test")))
-    return rows.withColumns({"_base": base, "_tokens": tested})
 
+def limits(rows: DataFrame, settings: Settings) -> dict[int, float]:
+    """The limit of each cell that has one, from all documents' tokens and ordinary strings: a table of fixed size.
 
-def _measured(rows: DataFrame, settings: Settings) -> dict[str, float]:
-    """The limit of each cell, from counts of all documents by encoding, length and statistic: a table of fixed size."""
+    Benjamini-Hochberg by cell: a token's p-value is the share of ordinary strings whose statistic is not above its own
+    (one more counted on both sides, so that without ordinary strings every p-value is 1 and nothing passes).
+    """
     width = settings.worst / settings.steps
-    step = F.floor(F.col("t.test.value") / width).cast("int")
-    cells = rows.select(F.explode("_tokens").alias("t")).select(F.col("t.test.cell").alias("cell"), F.split("t.test.cell", ":")[1].alias("length"), F.col("t.test.word").alias("word"), F.when(F.col("t.test.value") < settings.worst, step).otherwise(settings.steps).alias("step"))
-    table = cells.groupBy("cell", "length", "word", "step").agg(F.count("*").alias("n")).collect()  # encodings x lengths x steps at most
-    return _limits([(r["cell"], r["length"], r["word"], r["step"], r["n"]) for r in table], settings)
+    step = F.least(F.floor(F.col("t.value") / width), F.lit(settings.steps)).cast("int")
+    table = rows.select(F.explode("tokens").alias("t")).where("t.cell is not null").groupBy("t.cell", F.col("t.start").isNull().alias("known"), step.alias("step")).agg(F.count("*").alias("n")).collect()  # cells x steps at most
+    return bounds([(r["cell"], r["known"], r["step"], r["n"]) for r in table], settings)
 
 
-def _decided(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """``rows`` with _found: base spans and those of tokens under their limit, in order."""
-    if not limits:
-        return rows.withColumn("_found", F.sort_array("_base"))
-    cell = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-    limit = lambda t: F.coalesce(F.element_at(cell, t["test"]["cell"]), F.lit(-1.0))
-    good = F.filter(F.col("_tokens"), lambda t: ~t["test"]["word"] & (t["test"]["value"] < limit(t)) & ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.withColumn("_found", F.sort_array(F.concat("_base", F.transform(good, _as_span(len(BASE))))))
-
-
-def _limits(table: list[tuple[str, str, bool, int, int]], settings: Settings) -> dict[str, float]:
-    """For each cell the greatest statistic at which the expected share of words among what passes is in bounds."""
+def bounds(table: list[tuple[int, bool, int, int]], settings: Settings) -> dict[int, float]:
+    """Limits by cell from counts by (cell, whether ordinary, step of the statistic)."""
     out = {}
     for cell in sorted({r[0] for r in table}):
-        length = cell.split(":")[1]
-        tokens = sum(r[4] for r in table if r[0] == cell and not r[2])
-        words = sum(r[4] for r in table if r[1] == length and r[2])
+        below = {known: [sum(n for c, o, step, n in table if c == cell and o == known and step < k) for k in range(settings.steps + 2)] for known in (False, True)}
         for k in range(settings.steps, 0, -1):
-            passed = sum(r[4] for r in table if r[0] == cell and not r[2] and r[3] < k)
-            false = (sum(r[4] for r in table if r[1] == length and r[2] and r[3] < k) + 0.0) / max(words, 1) * tokens
-            if passed and false <= settings.fdr * passed:
+            p = (1 + below[True][k]) / (1 + below[True][-1])
+            if below[False][k] and p * below[False][-1] <= settings.fdr * below[False][k]:
                 out[cell] = k * settings.worst / settings.steps
                 break
     return out
 
 
+def _all_spans(limit: dict[int, float]) -> Column:
+    """Base spans and those of tokens, or else of their parts, under their limit, in order."""
+    if not limit:
+        return F.col("base")
+    known = F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))
+    good = lambda t: F.coalesce(t["value"] < F.element_at(known, t["cell"]), F.lit(False))
+    own = F.transform(F.filter("tokens", lambda t: t["parts"].isNotNull()), lambda t: F.filter(F.slice("tokens", t["at"] + 1 + F.when(good(t), 0).otherwise(1), F.when(good(t), 1).otherwise(t["parts"])), good))
+    return F.sort_array(F.concat("base", F.transform(F.flatten(own), _as_span(len(BASE)))))
+
+
+def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and found, the spans as an array of structs.
+
+    Base patterns always stay. To them come tokens of 16 and more characters outside base spans that a battery of tests
+    can't tell from random strings over their encoding's alphabet, and that ordinary text passes for too seldom: false
+    discoveries are held at ``settings.fdr`` in each class of encoding and length, by p-values against strings that the
+    documents' own text gives in that alphabet. Where there are too few of them to show that, nothing passes. Numbers are
+    no encoding. Null and empty texts have no spans. Repeated rows each give a row; a null doc_id stays null; other
+    columns are ignored; no rows give none.
+    """
+    settings = settings or Settings()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = [f"n_{kind}" for kind, *_ in BASE]
+    found = searched(rows, F.col("text"), F.struct("doc_id", "text"), settings)
+    found = stored(found.select("doc_id", *counts, "base", "tokens"), "secrets")
+    spans = found.select("doc_id", *counts, "base", _all_spans(limits(found, settings)).alias("found"))
+    return spans.select("doc_id", *counts, F.sha2(_key(F.col("base")), 256).alias("base_sha256"), _key(F.col("found")).alias("spans"), "found")
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", settings: Settings | None = None) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by ``mark``, and n_chars of the new text where present.
 
     Rows without spans stay as they are. Limits are counted first; then spans are found again where the texts are, so that no
-    text is shuffled.
+    text is shuffled or written. The columns of ``docs`` travel as one value, so that their names can't clash with any here.
     """
     settings = settings or Settings()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    limits = _measured(stored(_searched(docs.select(text.alias("_text"))).select("_tokens"), "tokens"), settings)
-    out = _decided(_searched(docs.withColumn("_text", text)), limits)
-    kind = "struct<at:int,out:string>"
-
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        out = F.when(new, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out")).cast(kind)
-
-    done = F.aggregate(F.col("_found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step)
-    clean = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    hit = F.size("_found") > 0
-    out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    found = searched(rows, text, text, settings)
+    limit = limits(stored(found.select("tokens"), "tokens"), settings)
+    out = found.select("row", _all_spans(limit).alias("spans"))
+    new = replaced(text, F.col("spans"), lambda at, x: F.when(x["begin"] >= at, F.lit(mark)).otherwise(F.lit("")))
+    out = out.select("row", F.when(F.size("spans") > 0, new).alias("new"))
+    columns = []
+    for c in docs.columns:
+        old = F.col("row").getField(c)
+        value = F.coalesce(F.col("new"), old) if c == "text" else F.coalesce(F.length("new").cast(docs.schema[c].dataType), old) if c == "n_chars" else old
+        columns.append(value.alias(c))
+    return out.select(*columns)

@@ -16,16 +16,16 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 @dataclass(frozen=True)
 class Settings:
-    """``depth`` levels have nodes of their own, deeper segments share one; a node's children are variable if there are at
-    least ``least`` and ``variety`` as many as rows; ``z`` is the bound for branches to count as similar; ``weight`` is that
-    of a prior in a purity, and ``bar`` the purity of blocked pages at which a template is rejected."""
+    """A node's children are variable if there are at least ``least`` of them and ``variety`` as many as the pages that pass
+    through it; ``z`` is the bound for branches to count as similar; ``weight`` is that of a prior in a purity, and ``bar``
+    the purity of blocked pages at which a template is rejected. Keys with over one in ``spread`` of all rows are hot."""
 
-    depth: int = 6
     least: int = 8
     variety: float = 0.3
     z: float = 1.96
     weight: float = 4.0
     bar: float = 0.5
+    spread: int = 1000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -44,38 +44,49 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """Segments of a path, numbers as '#' and long mixtures of digits and letters as '@'; those too deep as one '**'."""
-    raw = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    kind = lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]{1,5})?$"), "#").when((F.length(s) >= 12) & s.rlike("[0-9]") & s.rlike("[A-Za-z]"), "@").otherwise(s)
-    named = F.transform(raw, kind)
-    return F.when(F.size(named) > depth, F.concat(F.slice(named, 1, depth), F.array(F.lit("**")))).otherwise(named)
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/", -1), lambda s: s != "")
+
+
+def _beside(rows: DataFrame, table: DataFrame, keys: list[str], size: str, settings: Settings) -> DataFrame:
+    """``rows`` with their key's row of a stored table, whose ``size`` is the number of rows of that key.
+
+    Keys that hold over one in ``settings.spread`` of all rows are at most so many: they are broadcast, so that no task
+    gets all rows of one. The others are joined as Spark chooses.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * settings.spread > F.lit(total)
+    often, rare = table.where(hot).drop(size), table.where(~hot).drop(size)
+    one = rows.join(F.broadcast(often), keys)
+    return one.unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rare, keys))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings: Settings | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and template and purity (share of blocked pages, smoothed) of the page's path.
 
-    Pages that a rule fits are the labelled ones. Per host, paths are a tree of segments, built from the top: a node's
-    children become one wildcard where they are many for its pages, and labelled children whose blocked share doesn't
-    differ significantly from their node's are merged to one. A template's purity is its blocked share, smoothed to that of
-    the same template on all hosts, and that to the share of all labelled pages; from ``bar`` on, pages without a rule are
-    blocked. Pages are counted by host and path first, so that no host's pages meet in one task. Null url, or one without
-    ``://``: host and path empty. Repeated rows and ids each give a row; other columns are ignored.
+    Pages that a rule fits are the labelled ones. Per host, paths are a tree of segments, built from the top, down to the
+    deepest path: a node's children become one wildcard ``*`` where they are many for the pages that pass through it, and
+    labelled children whose blocked share doesn't differ significantly from that of their siblings are merged to one, ``+``.
+    A template's purity is its blocked share, smoothed to that of the same template on all hosts, and that to the share of
+    all labelled pages; from ``bar`` on, pages without a rule are blocked. Pages are counted by host and path first, so
+    that no host's pages meet in one task. Null url, or one without ``://``: host and path empty. Repeated rows and ids
+    each give a row; other columns are ignored; no rows give none.
     """
     settings = settings or Settings()
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), _segments(F.col("path"), settings.depth).alias("segments"))
-    rows = stored(rows.withColumn("shape", F.concat_ws("/", "segments")), "pages")
-    shapes = rows.groupBy("host", "shape").agg(F.first("segments").alias("segments"), F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("bad"), F.count("said").alias("known"))
-    shapes = stored(shapes.withColumn("template", F.lit("")), "shapes")
-    most = min(shapes.agg(F.max(F.size("segments"))).first()[0] or 0, settings.depth + 1)
+    rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said")), "pages")
+    shapes = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("bad"), F.count("said").alias("known"))
+    shapes = stored(shapes.withColumn("segments", _segments(F.col("path"))).withColumn("template", F.lit("")), "shapes")
+    most = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
+    done = []
     for level in range(most):
+        done.append(shapes.where(F.size("segments") <= level))
         inside = shapes.where(F.size("segments") > level).withColumn("s", F.col("segments")[level])
-        child = inside.groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
-        both = child.join(node, ["host", "template"])
+        child = stored(inside.groupBy("host", "template", "s").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known")), "children")
+        node = stored(child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known")), "nodes")
+        both = _beside(child, node.withColumn("size", F.col("kids")), ["host", "template"], "size", settings)
         variable = (F.col("kids") >= settings.least) & (F.col("kids") >= settings.variety * F.col("all_n"))
         # two-proportion test of a child against its siblings
         others_known, others_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
@@ -83,16 +94,20 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings
         error = F.sqrt(share * (1 - share) * (1 / F.col("known") + 1 / others_known))
         near = (F.col("known") > 0) & (others_known > 0) & (F.abs(F.col("bad") / F.col("known") - others_bad / others_known) <= settings.z * error)
         step = F.when(variable, "*").when(F.coalesce(near, F.lit(False)), "+").otherwise(F.col("s"))
-        names = both.select("host", "template", "s", step.alias("step"))
-        inside = inside.join(names, ["host", "template", "s"]).withColumn("template", F.concat_ws("/", "template", "step")).select(*shapes.columns)
-        shapes = stored(shapes.where(F.size("segments") <= level).unionByName(inside), "shapes")
+        names = stored(both.select("host", "template", "s", "shapes", step.alias("step")), "steps")
+        inside = _beside(inside, names, ["host", "template", "s"], "shapes", settings)
+        shapes = stored(inside.withColumn("template", F.concat_ws("/", "template", "step")).select(*shapes.columns), "shapes")
+    for part in done:
+        shapes = shapes.unionByName(part)
+    shapes = stored(shapes.drop("segments"), "shapes")
     total = shapes.agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).first()
     prior = ((total["bad"] or 0) + 1.0) / ((total["known"] or 0) + 2.0)
     k = settings.weight
-    own = shapes.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    every = own.groupBy("template").agg(((F.sum("bad") + k * prior) / (F.sum("known") + k)).alias("wide"))
-    purity = own.join(every, "template").select("host", "template", ((F.col("bad") + k * F.col("wide")) / (F.col("known") + k)).alias("purity"))
-    found = stored(shapes.select("host", "shape", "template").join(purity, ["host", "template"]), "templates")
-    judged = rows.join(found, ["host", "shape"])
+    own = stored(shapes.groupBy("host", "template").agg(F.count("*").alias("size"), F.sum("bad").alias("bad"), F.sum("known").alias("known")), "own")
+    every = stored(own.groupBy("template").agg(F.count("*").alias("hosts"), ((F.sum("bad") + k * prior) / (F.sum("known") + k)).alias("wide")), "wide")
+    purity = _beside(own, every, ["template"], "hosts", settings)
+    purity = stored(purity.select("host", "template", "size", ((F.col("bad") + k * F.col("wide")) / (F.col("known") + k)).alias("purity")), "purity")
+    found = stored(_beside(shapes.select("host", "path", "n", "template"), purity, ["host", "template"], "size", settings), "templates")
+    judged = _beside(rows, found, ["host", "path"], "n", settings)
     verdict = F.coalesce("said", F.when(F.col("purity") >= settings.bar, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftloom.llm.common import as_bytes, bucket_of, chunks, labelled_sample, ship
 
-_EDGE = re.compile(rb"^[^0-9A-Za-z\x80-\xff]*|[^0-9A-Za-z\x80-\xff]+$")
+#: Bytes that no word's core begins or ends with: ASCII but for digits and letters.
+_EDGE = bytes(c for c in range(128) if not chr(c).isalnum())
+#: Longer tokens are not remembered, so that a worker's memory is bounded by the number of remembered ones.
+_LONG = 64
 
 
 @dataclass(frozen=True)
@@ -39,17 +40,18 @@ class Words:
 
     def slot(self, token: bytes) -> int:
         if (s := self.memory.get(token)) is None:
-            lead = _EDGE.match(token)[0]
-            tail = b"" if len(lead) == len(token) else _EDGE.findall(token)[-1]
-            core = token[len(lead) : len(token) - len(tail) or None]
-            odd = (lead + tail).strip(b".,")
+            rest = token.lstrip(_EDGE)
+            core = rest.rstrip(_EDGE)
+            odd = (token[: len(token) - len(rest)] + rest[len(core) :]).strip(b".,")
             if odd or not core:
                 name = b"\0edge" + odd[:3]
             elif len(core) > 1 and core.isupper():
                 name = b"\0upper"
             else:
                 name = core.lower()
-            s = self.memory[token] = xxhash.xxh32_intdigest(name) % self.slots
+            s = xxhash.xxh32_intdigest(name) % self.slots
+            if len(token) <= _LONG:
+                self.memory[token] = s
         return s
 
     def slots_of(self, text: bytes) -> np.ndarray:
@@ -156,39 +158,43 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, folds: int = 5, threshold: float = 0.3, settings: Settings | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted for each whole text; with ``keep_text`` the other columns of ``docs`` first.
+def _fitted(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None, folds: int, settings: Settings):
+    spark = docs.sparkSession
+    ship(spark)
+    sample = labelled_sample(spark, docs if train_docs is None else train_docs, labels, "quality", folds, settings.sample)
+    return spark.sparkContext.broadcast(Model(settings).fit([t.encode() for t, _ in sample], [y for _, y in sample]))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, folds: int = 5, threshold: float = 0.3, settings: Settings | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted for each whole text.
 
     Learns from at most ``settings.sample`` labelled rows of ``train_docs`` (else ``docs``) whose crc32(doc_id) modulo
     ``folds`` is not 0, and from their texts alone. Null and empty texts are scored as a document without words. Without
     labels of both classes every score is the share of label 1 (0.5 without any). A null doc_id is in the fold of the empty
     text. Repeated rows are each scored; of an id's contradicting labels the larger counts. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
     settings = settings or Settings()
-    sample = labelled_sample(spark, docs if train_docs is None else train_docs, labels, "quality", folds, settings.sample)
-    model = spark.sparkContext.broadcast(Model(settings).fit([t.encode() for t, _ in sample], [y for _, y in sample]))
+    model = _fitted(docs, labels, train_docs, folds, settings)
 
-    slots = settings.slots
-    fold = (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out")
-    if keep_text:
-        columns = docs.columns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(settings.slots)
+        for part in chunks(batches, "text"):
+            score = model.value.score([words.slots_of(t) for t in as_bytes(part, "text")])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(slots)
-            for part in chunks(batches, "text"):
-                score = model.value.score([words.slots_of(t) for t in as_bytes(part, "text")])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*columns, "_score"])
 
-        kept = docs.mapInArrow(whole, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
-        return kept.select(*columns, fold, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text's score (see ``score_quality``) is at the threshold or over."""
+    settings = settings or Settings()
+    model = _fitted(docs, labels, None, folds, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(slots)
+        words = Words(settings.slots)
         for part in chunks(batches, "text"):
             score = model.value.score([words.slots_of(t) for t in as_bytes(part, "text")])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+            yield part.filter(pa.array(score >= threshold))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", fold, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -49,7 +50,22 @@ def test_quality(spark):
     assert out.where("score is null or score < 0 or score > 1").count() == 0
     assert quality.score_quality(docs, labels.where("false")).select("score").distinct().first()[0] == 0.5
     assert quality.score_quality(docs.where("false"), labels).count() == 0
-    assert quality.score_quality(docs, labels, keep_text=True, settings=quality.Settings(epochs=5)).columns[:3] == ["doc_id", "text", "source"]
+    names = ["score", "predicted", "held_out", "_score", "id", "y"]
+    wide = docs.select("*", *(F.lit("v").alias(n) for n in names if n not in docs.columns))
+    kept = quality.keep_good(wide, labels, settings=quality.Settings(epochs=150))
+    assert kept.columns == wide.columns and kept.count() == out.where("predicted = 1").count()
+
+
+def test_long_tokens_take_linear_time():
+    words, size = quality.Words(1 << 15), 1 << 20
+    model = toxicity.Toxicity(toxicity.Settings()).fit(["you idiot thing", "nice thing here", "you idiot", "fine"] * 50, [1, 0, 1, 0] * 50)
+    begun = time.perf_counter()
+    for token in ("!" * size, "a" + "!" * size, "a" * size, "!a" * (size // 2)):
+        words.slots_of(token.encode())
+    for text in ("a" + "!" * size, "a" * size, "x" + "." * size + "yy z", "a b " * (size // 4), "a.b." * (size // 4) + "cc d"):
+        model.score([text])
+    assert time.perf_counter() - begun < 40
+    assert [toxicity.bare(t) for t in ("(word),!!", "word!!!", '"a"', "!!!", "", "a|b|", "x$$", "__a__")] == ["word),", "word", "a", "", "", "a|b", "x", "__a__"]
 
 
 def test_toxicity(spark):

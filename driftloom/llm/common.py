@@ -1,51 +1,24 @@
-"""Shared pieces of the text operators: tables written between stages, packages for workers, Arrow helpers."""
+"""Shared pieces of the text operators: joins with hot keys, bounded samples, Arrow helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from driftloom.sources.stored import ship, stored
+
+__all__ = ["SPACE", "WORD", "as_bytes", "beside", "bucket_of", "chunks", "labelled_sample", "partitions", "sampled", "ship", "stored", "table_path"]
 
 #: Java pattern of one ASCII white-space character, and its complement a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="driftloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
-
-    A lost executor then costs only the running stage: what is written is read again by others.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/driftloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,6 +28,18 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], size: str, spread: int = 1000) -> DataFrame:
+    """``rows`` with their key's row of a stored table, whose ``size`` is the number of rows of that key.
+
+    Keys that hold over one in ``spread`` of all rows are at most so many: they are broadcast, so that no task gets all rows
+    of one. The others are joined as Spark chooses.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * spread > F.lit(total)
+    often, rare = table.where(hot).drop(size), table.where(~hot).drop(size)
+    return rows.join(F.broadcast(often), keys).unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rare, keys))
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``most`` bytes of text, at least one row each."""
     for batch in batches:
@@ -84,10 +69,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str, folds: int, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` (text, label) pairs whose fold is not 0, in the order of a hash of the id.
+def sampled(rows: DataFrame, by: list[str], most: int, most_mb: int) -> list:
+    """Rows (id, text, ...) to learn from, collected: at most ``most`` ids in each group of ``by`` in the order of a hash of
+    the id, one row each (the smallest text), and as many in that order as have ``most_mb`` MB of text together."""
+    others = [c for c in rows.columns if c not in ("id", "text", *by)]
+    rows = rows.where("id is not null and text is not null").groupBy(*by, "id").agg(F.min(F.struct("text", *others)).alias("r")).select(*by, "id", "r.*")
+    order = [F.xxhash64("id"), F.col("id")]
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("k") <= most).drop("k")
+    # one task, of at most ``most`` rows for each group
+    rows = rows.withColumn("mb", F.sum(F.octet_length("text") / (1 << 20)).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where(F.col("mb") <= most_mb)
+    return sorted(rows.drop("mb").collect(), key=lambda r: (r["id"], r["text"]))
+
+
+def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str, folds: int, most: int, most_mb: int = 256) -> list[tuple[str, int]]:
+    """At most ``most`` (text, label) pairs, and ``most_mb`` MB of text, whose fold is not 0, in the order of a hash of the id.
 
-    Only ids and labels are ranked; the ids (bounded by ``most``) are broadcast to fetch the texts.
+    Only ids and labels are ranked; the ids (bounded by ``most``) are broadcast to fetch the texts. An id counts once, by its
+    smallest text and largest label.
     """
     ids = (
         labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
@@ -96,6 +94,5 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, tar
         .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where(bucket_of(F.col("id"), folds) != 0).join(F.broadcast(ids), "id")
-    rows = rows.where(F.col("text").isNotNull()).select("id", "text", "y").collect()  # bounded by ``most`` ids
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where(bucket_of(F.col("id"), folds) != 0).join(F.broadcast(ids), "id")
+    return [(r["text"], r["y"]) for r in sampled(rows, [], most, most_mb)]

@@ -183,10 +183,12 @@ def _blocks(benchmark: DataFrame, block_mb: int) -> list:
 
 
 def _search(texts: list[bytes], blocks: list, ready: Phrases | None, window: int) -> tuple[list, list, list]:
-    """What ``find`` gives, over all blocks together."""
+    """What ``find`` gives, over all blocks together. A worker holds one block at a time: each is let go before the next."""
     hits = items = None
     for block in blocks:
         words, hit, found = find(texts, ready or Phrases(block.value, window))
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # read again from the worker's disk for the next chunk of texts
         if hits is None:
             hits, items = hit, found
         else:
@@ -201,8 +203,9 @@ _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_mb: int = 16, clean: bool = False) -> DataFrame:
     """Find the benchmark's windows of ``window`` words (or whole shorter items) in documents.
 
-    The benchmark is read in blocks of at most ``block_mb`` MB of text, each broadcast by itself and searched in every
-    shard, so that memory doesn't depend on its size. Returns a row per document: doc_id, n_words, n_hit, n_items,
+    The benchmark is read in blocks of at most ``block_mb`` MB of text (one item at least), each broadcast by itself and
+    searched in every shard. Driver and workers hold one block at a time, the others are on disk, so that memory doesn't
+    depend on the benchmark's size. Returns a row per document: doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated, spans (merged byte spans of hit words) and clean, the text without them (only if ``clean``).
     Null text has no words; a benchmark row without text or words has no windows; one without item_id counts as item ''.
     Items with an equal id are one. Repeated documents each give a row; other columns are ignored.
@@ -213,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Phrases(blocks[0].value, window) if len(blocks) == 1 else None
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", 8 << 20 if ready else 32 << 20):
             texts = as_bytes(part, "text")
             words, hits, items = _search(texts, blocks, ready, window)
             out: list[list] = [[] for _ in range(7)]
@@ -238,7 +241,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Phrases(blocks[0].value, window) if len(blocks) == 1 else None
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", 8 << 20 if ready else 32 << 20):
             texts = as_bytes(part, "text")
             _, hits, _ = _search(texts, blocks, ready, window)
             keep = [h is None or not h.all() for h in hits]

@@ -11,16 +11,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import as_bytes, bucket_of, chunks, ship
+from driftloom.llm.common import as_bytes, bucket_of, chunks, sampled, ship
 
 _LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the documents learned from for each language (as expected of a hash threshold)."""
+    """``sample`` bounds the documents learned from for each language, ``languages`` the languages (the most frequent ones are
+    learned) and ``megabytes`` the texts of all together."""
 
     sample: int = 600
+    languages: int = 200
+    megabytes: int = 256
     bits: int = 15
     smooth: float = 0.5
     rounds: int = 30
@@ -109,7 +112,7 @@ def identify_languages(docs: DataFrame, folds: int = 4, held: int = 2, settings:
     """doc_id, held_out, lang_pred, score and mixture (the language set with shares) of each whole text.
 
     Learns from texts with a language whose crc32(doc_id) modulo ``folds`` is not ``held``: for each language those with
-    the smallest hashes of the id, ``settings.sample`` expected. Null texts, and those without a letter, are ``und`` with
+    the smallest hashes of the id, ``settings.sample`` at most, an id once. Null texts, and those without a letter, are ``und`` with
     score 0, as is everything if no language is known. Ties go to the language first by name. A null doc_id is in the fold
     of the empty text. Repeated rows are each predicted; other columns are ignored.
     """
@@ -117,12 +120,12 @@ def identify_languages(docs: DataFrame, folds: int = 4, held: int = 2, settings:
     ship(spark)
     settings = settings or Settings()
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, settings.sample / n) * (1 << 30)))).otherwise(limit)
-    rows = known.where(spread < limit).select("text", "lang").collect() if counts else []
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    # a threshold that lets through twice the sample, so that few rows are ranked
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    limits = spark.createDataFrame([(r["lang"], int(min(1.0, 2 * settings.sample / r["n"]) * (1 << 30))) for r in counts], "lang string, bound long")
+    near = known.join(F.broadcast(limits), "lang").where(spread < F.col("bound")).select(F.col("doc_id").alias("id"), "text", "lang")
+    rows = sampled(near, ["lang"], settings.sample, settings.megabytes) if counts else []
     model = spark.sparkContext.broadcast(Mixture(settings).fit([(r["text"].encode(), r["lang"]) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,15 @@ from driftloom.llm.common import as_bytes, chunks, partitions, ship, stored
 BITS, BLOCK, SUB, REST = 64, 16, 12, 36
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of word shingles; a text with fewer words is one shingle, one with none has fingerprint zero."""
     words = text.lower().split()
@@ -27,24 +36,22 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     last = (ends[shingle - 1 :] - 1).tolist()
     first = [0, *ends[: len(words) - shingle].tolist()]
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(first, last, strict=True)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(first, last, strict=True)], np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the unsigned fingerprint's bits as a signed long. Null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *more: str) -> DataFrame:
+    """(doc_id, fp) and the long columns named by ``more`` for each row; fp holds the unsigned fingerprint's bits as a signed
+    long. Null text has no words."""
     ship(docs.sparkSession)
+    names = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(part, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*(F.col(n).cast("long").alias(n) for n in names), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def find_min(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,6 +198,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(star(star(now, True), False), "edges")
 
 
+def linked(fps: DataFrame, budget: int = 3) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of a stored table (doc_id, fp): the smallest doc_id reachable.
+
+    Each key's fingerprints are a binary trie, joined with itself; links make components. component_id is null for a
+    fingerprint that no row with a doc_id reaches.
+    """
+    if not 0 <= budget <= 3:
+        raise ValueError("budget must be from 0 to 3")
+    own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    keyed = own.where("rep is not null").select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "rep")
+    keyed = keyed.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+    edges = keyed.mapInArrow(lambda it: _links(it, budget), "a long, b long")
+    return own.join(components(edges), own["rep"] == F.col("v"), "left").select(F.col("fp"), F.coalesce("root", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id, the smallest doc_id reachable over links.
 
@@ -199,35 +221,38 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     without doc_id names no component but gets that of its fingerprint, null if no other row has it. Repeated rows each
     give a row. Columns beside doc_id and text are ignored; an empty table gives none.
     """
-    if not 0 <= budget <= 3:
-        raise ValueError("budget must be from 0 to 3")
-    spark = docs.sparkSession
     fps = stored(fingerprints(docs, shingle), "simhash")
-    own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    keyed = own.where("rep is not null").select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    keyed = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    edges = keyed.mapInArrow(lambda it: _links(it, budget), "a long, b long")
-    roots = own.join(components(edges), own["rep"] == F.col("v"), "left").select(F.col("fp"), F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(linked(fps, budget), "fp").select("doc_id", "fp", "component_id")
 
 
 def fp_hex(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each component keep the document with the smallest id, once; rows without an id stay."""
-    return keep_smallest(docs, near_duplicates(docs))
-
-
 def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names its component in ``found``, each id once, and the rows without an id."""
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """The rows of ``docs`` whose id names their component in ``found`` (doc_id, mark, component_id), and those without id.
+
+    ``mark`` is xxhash64 of the text, so that rows of one id but different texts are judged apart. Each id stays once: of
+    several rows the one with the smallest text. Columns travel as one value, so that names can't clash.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    packed = packed.select("row", F.col("row").getField("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row").getField("text").cast("string")).alias("mark"))
     # a merge join at every size: the ids that stay are as many as the documents, so never to be broadcast
-    keep = stored(keep, "kept").hint("merge")
-    out = docs.where("doc_id is null").unionByName(docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
-    if keep.where("n > 1").isEmpty():
-        return out
-    again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return docs.where("doc_id is null").unionByName(once).unionByName(again.dropDuplicates(["doc_id"]))
+    keep = stored(found.where("doc_id = component_id").groupBy("doc_id", "mark").agg(F.count("*").alias("n")), "kept")
+    several = stored(keep.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select("doc_id"), "several")
+    stay = packed.join(keep.select("doc_id", "mark").hint("merge"), ["doc_id", "mark"], "left_semi")
+    rows = packed.where("doc_id is null").select("row")
+    if several.isEmpty():
+        rows = rows.unionByName(stay.select("row"))
+    else:
+        text = F.col("row").getField("text")
+        once = stay.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct(text.alias("text"), F.to_json("row").alias("all"))).alias("row"))
+        rows = rows.unionByName(stay.join(several, "doc_id", "left_anti").select("row")).unionByName(once.select("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
+    """Of each component keep the document with the smallest id, once; rows without an id stay."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    fps = stored(fingerprints(marked, shingle, "mark"), "simhash")
+    return keep_smallest(docs, fps.join(linked(fps.select("doc_id", "fp"), budget), "fp").select("doc_id", "mark", "component_id"))

@@ -50,7 +50,7 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array | pa.ChunkedArray, kind: type | str) -> tuple[np.ndarray, np.ndarray]:
     """All elements of a binary column in a row, and how many each of its rows has."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -197,7 +197,7 @@ def _probe(window: int, bits: int):
     return run
 
 
-def _windows(window: int, bits: int):
+def _windows(window: int, bits: int, base: int, kind: str):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """A row a bucket: digests of suspect windows here, each with its smallest id; and what was found, for later."""
         if not docs.num_rows:
@@ -206,7 +206,7 @@ def _windows(window: int, bits: int):
         found = group.found(answers)
         group.suspect(found)
         start, sizes = _runs(group.window_buckets)
-        rows = _table(group.window_buckets[start], group.g, WINDOWS, _binary(group.digest.ravel(), 2 * sizes), _binary(group.least, sizes))
+        rows = _table(group.window_buckets[start], group.g, WINDOWS, _binary(group.digest.ravel(), 2 * sizes), _binary((group.least - base).astype(kind), sizes))
         if not found.any():
             return rows
         note = _table(np.array([group.g % (1 << bits)]), group.g, NOTE, pa.array([np.packbits(found).tobytes()], pa.binary()))
@@ -287,7 +287,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _answered(table, flags, sizes, ANCHORED).to_batches()
 
 
-def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least(batches: Iterator[pa.RecordBatch], id_kind: str) -> Iterator[pa.RecordBatch]:
     """To each group which of its windows a smaller id has in another group. Notes pass."""
     for table in _whole_buckets(batches):
         kind = table.column("kind").to_numpy()
@@ -295,7 +295,7 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table.filter(pa.array(kind == WINDOWS)).combine_chunks()
         if not table.num_rows:
             continue
-        ids, sizes = _flat(table.column("b"), np.int64)
+        ids, sizes = _flat(table.column("b"), id_kind)
         high, low = _flat(table.column("a"), np.uint64)[0].reshape(-1, 2).T
         order = np.lexsort((low, high))
         fresh = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
@@ -328,10 +328,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_mb: float = 8.0, tex
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id is not null")
-    sizes = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n"), F.sum("size")).first()
+    sizes = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n"), F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
     total = float(sizes[1] or 0)
     group = max(group_mb * (1 << 20), math.sqrt(32 * total))
     groups, bits = max(1, math.ceil(total / group)), max(6, int(math.log2(group / 240)))
+    # ids are sent as their distance from the smallest, in four bytes where that is enough
+    base, kind = sizes[2] or 0, "<u4" if (sizes[3] or 0) - (sizes[2] or 0) < 1 << 32 else "<u8"
     known = known.groupBy("doc_id", "text").agg(F.count("*").alias("copies")) if (sizes[0] or 0) > 1 else known.withColumn("copies", F.lit(1).cast("long"))
     dealt = known.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "doc_id", "text", "copies")
 
@@ -340,8 +342,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_mb: float = 8.0, tex
 
     sent = dealt.groupBy("g").applyInArrow(_probe(window, bits), _SCHEMA)
     first = by_bucket(sent).mapInArrow(_anchored, _SCHEMA)
-    suspects = dealt.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_windows(window, bits), _SCHEMA)
-    second = by_bucket(suspects).mapInArrow(_least, _SCHEMA)
+    suspects = dealt.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(_windows(window, bits, base, kind), _SCHEMA)
+    second = by_bucket(suspects).mapInArrow(lambda it: _least(it, kind), _SCHEMA)
     found = dealt.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(_extend(window, bits, text), _RESULT_SCHEMA)
     if (sizes[0] or 0) > 1:
         # a row for each copy, by thousands, so that no array is long

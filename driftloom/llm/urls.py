@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import stored
+from driftloom.llm.common import beside, stored
 
 #: The contract's rules: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -18,14 +18,13 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 class Settings:
     """A node's children are variable if there are at least ``least`` of them and ``variety`` as many as the pages that pass
     through it; ``z`` is the bound for branches to count as similar; ``weight`` is that of a prior in a purity, and ``bar``
-    the purity of blocked pages at which a template is rejected. Keys with over one in ``spread`` of all rows are hot."""
+    the purity of blocked pages at which a template is rejected."""
 
     least: int = 8
     variety: float = 0.3
     z: float = 1.96
     weight: float = 4.0
     bar: float = 0.5
-    spread: int = 1000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -48,19 +47,6 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/", -1), lambda s: s != "")
 
 
-def _beside(rows: DataFrame, table: DataFrame, keys: list[str], size: str, settings: Settings) -> DataFrame:
-    """``rows`` with their key's row of a stored table, whose ``size`` is the number of rows of that key.
-
-    Keys that hold over one in ``settings.spread`` of all rows are at most so many: they are broadcast, so that no task
-    gets all rows of one. The others are joined as Spark chooses.
-    """
-    total = table.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(size) * settings.spread > F.lit(total)
-    often, rare = table.where(hot).drop(size), table.where(~hot).drop(size)
-    one = rows.join(F.broadcast(often), keys)
-    return one.unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rare, keys))
-
-
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings: Settings | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and template and purity (share of blocked pages, smoothed) of the page's path.
 
@@ -86,7 +72,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings
         inside = shapes.where(F.size("segments") > level).withColumn("s", F.col("segments")[level])
         child = stored(inside.groupBy("host", "template", "s").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known")), "children")
         node = stored(child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known")), "nodes")
-        both = _beside(child, node.withColumn("size", F.col("kids")), ["host", "template"], "size", settings)
+        both = beside(child, node.withColumn("size", F.col("kids")), ["host", "template"], "size")
         variable = (F.col("kids") >= settings.least) & (F.col("kids") >= settings.variety * F.col("all_n"))
         # two-proportion test of a child against its siblings
         others_known, others_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
@@ -95,7 +81,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings
         near = (F.col("known") > 0) & (others_known > 0) & (F.abs(F.col("bad") / F.col("known") - others_bad / others_known) <= settings.z * error)
         step = F.when(variable, "*").when(F.coalesce(near, F.lit(False)), "+").otherwise(F.col("s"))
         names = stored(both.select("host", "template", "s", "shapes", step.alias("step")), "steps")
-        inside = _beside(inside, names, ["host", "template", "s"], "shapes", settings)
+        inside = beside(inside, names, ["host", "template", "s"], "shapes")
         shapes = stored(inside.withColumn("template", F.concat_ws("/", "template", "step")).select(*shapes.columns), "shapes")
     for part in done:
         shapes = shapes.unionByName(part)
@@ -105,9 +91,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings
     k = settings.weight
     own = stored(shapes.groupBy("host", "template").agg(F.count("*").alias("size"), F.sum("bad").alias("bad"), F.sum("known").alias("known")), "own")
     every = stored(own.groupBy("template").agg(F.count("*").alias("hosts"), ((F.sum("bad") + k * prior) / (F.sum("known") + k)).alias("wide")), "wide")
-    purity = _beside(own, every, ["template"], "hosts", settings)
+    purity = beside(own, every, ["template"], "hosts")
     purity = stored(purity.select("host", "template", "size", ((F.col("bad") + k * F.col("wide")) / (F.col("known") + k)).alias("purity")), "purity")
-    found = stored(_beside(shapes.select("host", "path", "n", "template"), purity, ["host", "template"], "size", settings), "templates")
-    judged = _beside(rows, found, ["host", "path"], "n", settings)
+    found = stored(beside(shapes.select("host", "path", "n", "template"), purity, ["host", "template"], "size"), "templates")
+    judged = beside(rows, found, ["host", "path"], "n")
     verdict = F.coalesce("said", F.when(F.col("purity") >= settings.bar, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

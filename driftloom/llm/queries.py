@@ -110,5 +110,35 @@ FROM d LEFT JOIN cut USING (doc_id)
 """
 
 
+def _op6(depth: int = 12) -> str:
+    """The template tree with a step of it for each of ``depth`` levels: as deep as the paths of the compared tables are."""
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    fits = lambda r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))"
+    ranked = sorted(urls.RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ranked) + " END"
+    said = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in ranked) + " END"
+    s = urls.Settings()
+    parts = [
+        f"u AS (SELECT page_id, {lower.format(f"regexp_extract(coalesce(url, ''), '{pattern}', 1)")} AS host, regexp_extract(coalesce(url, ''), '{pattern}', 2) AS path FROM pages)",
+        f"r AS (SELECT *, {rule} AS rule, {said} AS said FROM u)",
+        "t0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (WHERE said = 'block') AS bad, count(said) AS known, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, '' AS template FROM r GROUP BY host, path)",
+    ]
+    for k in range(depth):
+        parts += [
+            f"c{k} AS (SELECT host, template, seg[{k + 1}] AS s, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM t{k} WHERE len(seg) > {k} GROUP BY ALL)",
+            f"d{k} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS all_n, sum(bad) OVER w AS all_bad, sum(known) OVER w AS all_known FROM c{k} WINDOW w AS (PARTITION BY host, template))",
+            f"e{k} AS (SELECT host, template, s, CASE WHEN kids >= {s.least} AND kids >= {s.variety} * all_n THEN '*' WHEN known > 0 AND all_known > known AND abs(bad / known - (all_bad - bad) / (all_known - known)) <= {s.z} * sqrt(all_bad / all_known * (1 - all_bad / all_known) * (1 / known + 1 / (all_known - known))) THEN '+' ELSE s END AS step FROM d{k})",
+            f"t{k + 1} AS (SELECT t.host, t.path, t.n, t.bad, t.known, t.seg, CASE WHEN len(seg) > {k} THEN t.template || '/' || e.step ELSE t.template END AS template FROM t{k} t LEFT JOIN e{k} e ON e.host = t.host AND e.template = t.template AND e.s = t.seg[{k + 1}] AND len(t.seg) > {k})",
+        ]
+    parts += [
+        f"p AS (SELECT (sum(bad) + 1.0) / (sum(known) + 2.0) AS prior FROM t{depth})",
+        f"o AS (SELECT host, template, sum(bad) AS bad, sum(known) AS known FROM t{depth} GROUP BY ALL)",
+        f"v AS (SELECT template, (sum(bad) + {s.weight} * any_value(prior)) / (sum(known) + {s.weight}) AS wide FROM o, p GROUP BY template)",
+        f"q AS (SELECT host, template, (bad + {s.weight} * wide) / (known + {s.weight}) AS purity FROM o JOIN v USING (template))",
+    ]
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {s.bar} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM r JOIN t{depth} USING (host, path) JOIN q USING (host, template)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op8_substring_dedup": _OP8}
+    return {"op4_decontamination": _OP4, "op6_url_filters": _op6(), "op8_substring_dedup": _OP8}

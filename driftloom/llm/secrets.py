@@ -37,6 +37,8 @@ ENCODINGS = (
     ("base62", "^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS),
     ("base64", "^[0-9A-Za-z+/_-]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
 )
+#: How much text is looked at for a string of ordinary text, in its lengths.
+STRETCH = 16
 #: Spans are gathered in runs of so many, as an array that grows by one at a time is copied each time.
 RUN = 256
 _SPAN = "struct<start:int,end:int,begin:int,stop:int,hit:string>"
@@ -235,19 +237,26 @@ def searched(rows: DataFrame, text: Column, key: Column, settings: Settings) ->
 
 
 def ordinary(text: Column, key: Column, settings: Settings) -> Column:
-    """Strings of ordinary text to compare with: what a text has in an encoding's alphabet, at one place, bare and encoding.
+    """Strings of ordinary text to compare with: what a stretch of a text has in an encoding's alphabet, bare and encoding.
 
-    Tokens long enough to be tested are left out of it. Encoding, length and place follow from a hash of ``key``; a text that
-    is too short gives none.
+    Tokens long enough to be tested are left out of it. Encoding, length and place follow from a hash of ``key``; the stretch
+    is ``STRETCH`` times as long as the string, and gives none if that is too short.
     """
     def draw(k: Column) -> Column:
         mark = F.xxhash64(key, k)
         encoding = F.pmod(mark, F.lit(len(ENCODINGS))).cast("int")
         least = _of(list(LENGTHS), F.pmod(F.shiftright(mark, 40), F.lit(len(LENGTHS))).cast("int"))
-        cased = F.when(_of([e[0] in ("HEX", "BASE26", "BASE36") for e in ENCODINGS], encoding), F.upper(text)).when(_of([e[0] in ("hex", "base26", "base36") for e in ENCODINGS], encoding), F.lower(text)).otherwise(text)
-        bare = F.regexp_replace(cased, _of([f"{TOKEN}|[^{e[2]}]+" for e in ENCODINGS], encoding), F.lit(""))
-        place = lambda s: F.pmod(F.shiftright(s["mark"], 17), F.greatest(F.length(s["bare"]) - s["least"] + 1, F.lit(1))).cast("int") + 1
-        return _once(F.struct(bare.alias("bare"), encoding.alias("encoding"), least.alias("least"), mark.alias("mark")), lambda s: F.struct(F.when(F.length(s["bare"]) >= s["least"], F.substring(s["bare"], place(s), s["least"])).alias("bare"), s["encoding"].alias("encoding")))
+        place = F.pmod(F.shiftright(mark, 17), F.greatest(F.length(text) - STRETCH * least + 1, F.lit(1))).cast("int") + 1
+        here = F.substring(text, place, STRETCH * least)
+
+        def string_of(s: Column) -> Column:
+            upper = _of([e[0] in ("HEX", "BASE26", "BASE36") for e in ENCODINGS], s["encoding"])
+            lower = _of([e[0] in ("hex", "base26", "base36") for e in ENCODINGS], s["encoding"])
+            cased = F.when(upper, F.upper(s["here"])).when(lower, F.lower(s["here"])).otherwise(s["here"])
+            bare = F.regexp_replace(cased, _of([f"{TOKEN}|[^{e[2]}]+" for e in ENCODINGS], s["encoding"]), F.lit(""))
+            return F.struct(F.when(F.length(bare) >= s["least"], F.substring(bare, F.lit(1), s["least"])).alias("bare"), s["encoding"].alias("encoding"))
+
+        return _once(F.struct(here.alias("here"), encoding.alias("encoding"), least.alias("least")), string_of)
 
     return F.filter(F.transform(F.sequence(F.lit(1), F.lit(settings.draws)), draw), lambda x: x["bare"].isNotNull())
 
@@ -309,15 +318,14 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", settings: Settings | None = None) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by ``mark``, and n_chars of the new text where present.
 
-    Rows without spans stay as they are. Limits are counted first; then spans are found again where the texts are, so that no
-    text is shuffled or written. The columns of ``docs`` travel as one value, so that their names can't clash with any here.
+    Rows without spans stay as they are. Texts are searched once and written with what was found in them; limits are counted
+    from that, and applied to it. The columns of ``docs`` travel as one value, so that their names can't clash with any here.
     """
     settings = settings or Settings()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    found = searched(rows, text, text, settings)
-    limit = limits(stored(found.select("tokens"), "tokens"), settings)
-    out = found.select("row", _all_spans(limit).alias("spans"))
+    found = stored(searched(rows, text, text, settings).select("row", "base", "tokens"), "searched")
+    out = found.select("row", _all_spans(limits(found, settings)).alias("spans"))
     new = replaced(text, F.col("spans"), lambda at, x: F.when(x["begin"] >= at, F.lit(mark)).otherwise(F.lit("")))
     out = out.select("row", F.when(F.size("spans") > 0, new).alias("new"))
     columns = []

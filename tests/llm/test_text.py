@@ -1,15 +1,17 @@
 """Encoding round trips, classifiers' held-out accuracy, text statistics and URL verdicts on small fixtures."""
 
+import math
 import random
 import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, langid, outliers, quality, toxicity, urls
+from driftloom.llm import bpe, langid, outliers, quality, queries, toxicity, urls
 from driftloom.llm.queries import vocabulary_path
 
 RNG = random.Random(3)
@@ -145,3 +147,89 @@ def test_urls(spark):
         if host.endswith(".net") and path.startswith("/de/"):
             assert r["verdict"] == "block"  # learned from /de/ pages that a rule blocks
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_urls_equal_sql_at_any_depth(spark, tmp_path):
+    """Templates, purities and verdicts against DuckDB, on paths deeper than any earlier bound."""
+    deep = "/".join("abcdefg")
+    given = [f"http://h{i % 3}.net/{deep}/{'good' if i % 2 else 'bad'}/{i}" for i in range(60)] + [f"http://h{i % 3}.com/{'fr' if i % 4 else 'de'}/{deep}/{i // 2}" for i in range(80)]
+    given += [f"http://s{i % 9}.example.org/{'es' if i % 3 else 'en'}/{i % 25}{'' if i % 2 else '/x'}" for i in range(200)] + [f"http://big.org/{i}" for i in range(150)] + [None, "", "x://", "http://h1.net", "http://h1.net/"]
+    path = str(tmp_path / "pages.parquet")
+    docs = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    docs.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op6_url_filters"]).fetchall()
+    got = [tuple(r) for r in urls.judge(docs).select("page_id", "host", "path", "rule", "verdict", "template", "purity").collect()]
+    assert sorted(got) == sorted(want) and {t[5] for t in got} >= {"/*"}
+    depth = [t for t in got if t[1] == "h0.net"]
+    assert {t[5].split("/")[8] for t in depth} == {"good", "bad"}  # the eighth segment parts templates
+
+
+def brute_kept(x, settings):
+    """The least-determinant estimate of one group by plain loops over NumPy rows; distances over the median's scale."""
+    n, d = x.shape
+    floors = np.array(settings.floors)
+
+    def quantile(v, q):
+        return np.sort(v)[max(math.ceil(q * len(v)) - 1, 0)]
+
+    def bounded(c):
+        c = c.copy()
+        np.fill_diagonal(c, np.maximum(np.diag(c), floors**2))
+        return c
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def step(models):
+        inner = []
+        for m, c in models:
+            d2 = distances(m, c)
+            inner.append(x[d2 <= quantile(d2, settings.share) * (1 + 1e-9)])
+        pooled = np.concatenate(inner)
+        pm, pc = pooled.mean(0), np.cov(pooled.T, bias=True)
+        k = settings.shrink
+        return [((len(i) * i.mean(0) + k * pm) / (len(i) + k), bounded((len(i) * np.cov(i.T, bias=True) + k * pc) / (len(i) + k))) for i in inner]
+
+    middle = np.array([quantile(x[:, j], 0.5) for j in range(d)])
+    spread = np.maximum([(quantile(x[:, j], 0.75) - quantile(x[:, j], 0.25)) / 1.349 for j in range(d)], floors)
+    z = (x - middle) / spread
+    models = []
+    for w in (None, np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)):
+        c = np.eye(d)
+        if w is not None:
+            s = w.T @ w
+            c = 0.9 * s / np.sqrt(np.maximum(np.outer(np.diag(s), np.diag(s)), 1e-18))
+            np.fill_diagonal(c, 1.0)
+        models.append((middle, bounded(c * np.outer(spread, spread))))
+    for _ in range(settings.first):
+        models = step(models)
+    best = min(models, key=lambda m: np.linalg.slogdet(m[1])[1])
+    while True:
+        new = step([best])[0]
+        if np.linalg.slogdet(new[1])[1] >= np.linalg.slogdet(best[1])[1] - settings.still:
+            break
+        best = new
+    d2 = distances(*best)
+    return d2 / max(quantile(d2, 0.5) / settings.median, 1.0)
+
+
+def test_outliers_equal_brute_force(spark):
+    """One group, so that the pooled estimate is its own: the distance of every document by the definition in NumPy."""
+    rows = []
+    for i in range(150):
+        n = RNG.randint(60, 400)
+        w = [f"w{RNG.randrange(500)}" + ("#" if RNG.random() < 0.02 * (i % 4) else "") for _ in range(n)]
+        if i % 15 == 0:
+            w = [x + "$|%" for x in w]
+        if i % 23 == 0:
+            w = w[:30] * 5 + w
+        rows.append((i, " ".join(w[: n // 2]) + "\n" + " ".join(w[n // 2 :]) + "\nsame line\nsame line" * (i % 3), "en", "s"))
+    out = outliers.reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id").sort_index()
+    good = out[~out["base_failed"]]
+    n, chars = good["n_words"].to_numpy(float), good["word_chars"].to_numpy(float)
+    x = np.column_stack([np.log1p(n), np.log(chars / n), np.sqrt(good["n_symbols"] / chars), np.sqrt(good["n_dup_lines"] / n), np.sqrt(good["n_repeat_words"] / n)])
+    want = brute_kept(x, outliers.Settings())
+    assert len(good) > 120 and np.allclose(good["distance"], want, rtol=1e-6)
+    assert (good["kept"].to_numpy() == (want <= outliers.Settings().cutoff)).all() and 0 < (~good["kept"]).sum() < 40

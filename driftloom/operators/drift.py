@@ -65,16 +65,17 @@ def reference_summary(ref: DataFrame, keys: list[str] | None = None, bins: int =
     return s.select(*by, "n", std.alias("std"), edges.alias("edges"))
 
 
-def histogram(df: DataFrame, edges: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+def histogram(df: DataFrame, edges: DataFrame, keys: list[str], on: list[str], bins: int = 10) -> DataFrame:
     """Counts by half-open bin, the last one closed, values outside in none; every bin has a row. The edges table has a row
-    per feature and is joined by its key."""
-    e = edges.select(*on, "edges")
+    per feature and is joined by its key; a row of more than ``bins`` bins is an error."""
+    message = F.concat(F.lit(f"more than {bins} bins: "), (F.size("edges") - 1).cast("string"))
+    e = edges.select(*on, F.when(F.size("edges") > bins + 1, F.raise_error(message).cast("array<double>")).otherwise(F.col("edges")).alias("edges"))
     b = F.size("edges") - 1
     at = F.size(F.filter("edges", lambda v: v <= F.col("x")))
     at = F.when(F.col("x") == F.element_at("edges", -1), b).otherwise(at)
     by = list(dict.fromkeys([*keys, *on]))
-    counted = df.join(e, on).withColumn("bin", at).groupBy(*by).agg(F.count("*").alias("n"), F.first(b).alias("bins"), *(F.count_if(F.col("bin") == i).alias(f"c{i}") for i in range(1, 11)))
-    spine = F.explode(F.slice(F.array(*(F.struct(F.lit(i).alias("bin"), F.col(f"c{i}").alias("c")) for i in range(1, 11))), F.lit(1), F.col("bins")))
+    counted = df.join(e, on).withColumn("bin", at).groupBy(*by).agg(F.count("*").alias("n"), F.first(b).alias("bins"), *(F.count_if(F.col("bin") == i).alias(f"c{i}") for i in range(1, bins + 1)))
+    spine = F.explode(F.slice(F.array(*(F.struct(F.lit(i).alias("bin"), F.col(f"c{i}").alias("c")) for i in range(1, bins + 1))), F.lit(1), F.col("bins")))
     return counted.select(*by, "n", "bins", spine.alias("s")).select(*by, "n", "bins", "s.bin", "s.c")
 
 
@@ -107,8 +108,8 @@ def feature_scores(cur: DataFrame, ref: DataFrame, keys: list[str], on: list[str
     """Per group and feature: psi, wass (in the reference's deviations), score, the mean of both clipped at their thresholds."""
     c = config or DriftConfig()
     summary = reference_summary(ref, [k for k in on if k != "feature"], c.bins, raw)
-    ref_hist = histogram(ref, summary, on, on)
-    p = psi(histogram(cur, summary, keys, on), ref_hist, keys, on, c.alpha)
+    ref_hist = histogram(ref, summary, on, on, c.bins)
+    p = psi(histogram(cur, summary, keys, on, c.bins), ref_hist, keys, on, c.alpha)
     by = list(dict.fromkeys([*keys, *on]))
     out = p.join(wasserstein(cur, ref, keys, on), by).join(summary.select(*on, "std"), on).withColumn("wass", F.col("wass") / F.col("std"))
     score = 0.5 * clip(F.col("psi") / c.psi_high, 0, 1) + 0.5 * clip(F.col("wass") / c.wasserstein, 0, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
+from driftloom.operators.sampling import last_rows
 
 def sums(df: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """n and the sums from which any merge of groups can be fitted."""
@@ -36,8 +36,7 @@ def with_fifo(df: DataFrame, stats: DataFrame, capacity: int = 500) -> DataFrame
 
     Of each batch only its last ``capacity`` rows can be in a later buffer, so those alone are ordered.
     """
-    w = W.partitionBy("batch_id").orderBy(F.desc("row_id"))
-    tails = df.select("batch_id", "row_id", "x", "y").withColumn("r", F.row_number().over(w)).where(F.col("r") <= capacity)
+    tails = last_rows(df.select("batch_id", "row_id", "x", "y"), ["batch_id"], capacity)
     later = stats.select(F.col("batch_id").alias("t"))
     recent = tails.join(F.broadcast(later), F.col("batch_id") < F.col("t"))
     place = F.row_number().over(W.partitionBy("t").orderBy(F.desc("batch_id"), F.desc("row_id")))

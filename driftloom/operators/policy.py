@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import clip
@@ -42,3 +42,16 @@ def actions(report: DataFrame, config: PolicyConfig | None = None) -> DataFrame:
         F.greatest(F.lit(5), F.bround(F.lit(float(p.trees)) * (0.60 + rate)).cast("int")).alias("n_new_trees"),
         (p.rate * (0.75 + 0.75 * rate)).alias("learning_rate"), (p.l2 * (1.35 - 0.55 * rate)).alias("l2"), text.alias("description"),
     )
+
+
+def training_sizes(n, held, replay_ratio: float, rate: float):
+    """Rows of the replay buffer for the specialist and of the batch for the anchor, from the rows of both: numbers or columns."""
+    if isinstance(n, Column):
+        low, high, floor = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(F.lit(a), b)), F.floor
+        choose = lambda some, none: F.when(held > 0, some).otherwise(none)
+    else:
+        low, high, floor = min, max, int
+        choose = lambda some, none: some if held > 0 else none
+    special = choose(low(held, high(8, floor(n * replay_ratio))), 0 * n)
+    anchor = choose(high(8, low(n, floor(n * max(0.10, 0.20 * rate)))), high(8, floor(n * 0.5)))
+    return special, anchor

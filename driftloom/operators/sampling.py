@@ -46,6 +46,18 @@ def take_by_hash(df: DataFrame, keys: list[str], n: Column | int, seed: str, row
     return mark_by_hash(df, keys, n, seed, "_taken", row_id, digits).where("_taken").drop("_taken")
 
 
+def place_by_hash(df: DataFrame, keys: list[str], seed: str, place: str, row_id: str = "row_id", digits: int = 3) -> DataFrame:
+    """``df`` with each row's place, from 0, in its group's order of md5(seed:row_id), ties by row_id.
+
+    Places within buckets of the hash's first digits are added to the number of rows in the buckets before.
+    """
+    keyed = df.withColumn("_h", rank_key(seed, row_id)).withColumn("_b", F.substring("_h", 1, digits))
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h", row_id)) - 1
+    return keyed.join(counts, [*keys, "_b"]).withColumn(place, F.col("_before") + rank).select(*df.columns, place)
+
+
 def holdout_split(df: DataFrame, ratio: float = 0.2, seed: str = "split", least: int = 10, by: str = "batch_id") -> DataFrame:
     """``df`` with is_eval: max(``least``, int(ratio x rows)) rows of each batch, by hash, are hidden from learning."""
     return mark_by_hash(df, [by], F.greatest(F.lit(least), F.floor(F.col("group_rows") * ratio)), seed, "is_eval")
@@ -71,31 +83,60 @@ def quantile_edges(df: DataFrame, keys: list[str], value: str, n: int, reach: fl
 
 def quota(capacity: int, n_strata: Column, index: Column) -> Column:
     """A stratum's share of the capacity: equal parts, the remainder to the first ones."""
-    each = F.floor(F.lit(capacity) / n_strata)
-    return each + F.when(index < capacity - each * n_strata, 1).otherwise(0)
+    return F.floor((F.lit(capacity - 1) - index) / n_strata) + 1
+
+
+def shares(capacity: int, n_strata: int) -> np.ndarray:
+    """``quota`` of all strata, in their order."""
+    return (capacity - 1 - np.arange(n_strata)) // n_strata + 1
 
 
 def stratified(df: DataFrame, capacity: int, seed: str, keys: list[str] | None = None) -> DataFrame:
     """Of each stratum (within ``keys``) its quota of rows by hash; what a small stratum leaves is not given to others."""
     keys = keys or []
-    sizes = df.groupBy(*keys, "stratum").agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*keys).orderBy("stratum")
-    sizes = sizes.withColumn("_q", quota(capacity, F.count("*").over(W.partitionBy(*keys)), F.row_number().over(order) - 1)).drop("_n")
-    joined = df.join(sizes, [*keys, "stratum"])
-    rank = F.row_number().over(W.partitionBy(*keys, "stratum").orderBy(rank_key(seed, "row_id"), "row_id"))
-    return joined.withColumn("_r", rank).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
+    sizes = df.select(*keys, "stratum").distinct()
+    order = W.partitionBy(*keys).orderBy("stratum")  # a row per stratum
+    sizes = sizes.withColumn("_q", quota(capacity, F.count("*").over(W.partitionBy(*keys)), F.row_number().over(order) - 1))
+    joined = df.join(F.broadcast(sizes), [*keys, "stratum"])  # a row per batch and stratum
+    return take_by_hash(joined, [*keys, "stratum", "_q"], F.col("_q"), seed).drop("_q")
+
+
+def last_rows(df: DataFrame, keys: list[str], n: int, order: str = "row_id", ranges: int = 4096) -> DataFrame:
+    """The last ``n`` rows of each group by a unique integer column, whatever the group's size.
+
+    Rows are counted in even ranges of the column; ranges wholly among the last are taken as they are, and only the one at
+    the bound is ranked.
+    """
+    low = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    ranged = df.join(F.broadcast(low), keys)  # a row per group
+    x, lo, hi = (F.col(c).cast("double") for c in (order, "_lo", "_hi"))
+    at = F.floor((x - lo) / (hi - lo + 1) * ranges).cast("int")
+    ranged = ranged.withColumn("_at", at).drop("_lo", "_hi")
+    counts = ranged.groupBy(*keys, "_at").agg(F.count("*").alias("_n"))
+    after = F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, -1))  # ``ranges`` rows a group
+    counts = counts.withColumn("_after", F.coalesce(after, F.lit(0))).where(F.col("_after") < n)
+    joined = ranged.join(F.broadcast(counts), [*keys, "_at"])  # at most ``n`` ranges a group
+    whole = F.col("_after") + F.col("_n") <= n
+    rank = F.row_number().over(W.partitionBy(*keys, "_at").orderBy(F.desc(order)))
+    bound = joined.where(~whole).withColumn("_r", rank).where(F.col("_after") + F.col("_r") <= n)
+    return joined.where(whole).select(*df.columns).unionByName(bound.select(*df.columns))
+
+
+def _square(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distances of rows from a point."""
+    return ((x - point) ** 2).sum(axis=1)
 
 
 def farthest_points(x: np.ndarray, n: int) -> list[int]:
-    """Greedy farthest-point order: first the point nearest the centroid, then always that farthest from the chosen."""
-    if len(x) <= n:
-        return list(range(len(x)))
-    chosen = [int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))]
-    gap = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < n:
-        chosen.append(int(np.argmax(gap)))
-        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return chosen
+    """The rows of ``x`` that a greedy cover takes, in order: the most central one, then ever the one that is farthest from
+    all taken before; all rows, as they stand, if there are no more than ``n``."""
+    order = np.arange(len(x))
+    if len(x) > n:
+        order, uncovered = order[:n], np.full(len(x), np.inf)
+        for k in range(n):
+            order[k] = uncovered.argmax() if k else _square(x, x.mean(axis=0)).argmin()
+            uncovered = np.fmin(uncovered, _square(x, x[order[k]]))
+    return order.tolist()
 
 
 def select_farthest(df: DataFrame, capacity: int, features: str = "features") -> DataFrame:
@@ -129,7 +170,7 @@ def select_farthest(df: DataFrame, capacity: int, features: str = "features") ->
                     if s not in points:
                         continue
                     x, ids = np.stack(g["x"].to_numpy()).astype(float), g["row_id"].to_numpy()
-                    gap = sign * np.min([((x - np.array(p)) ** 2).sum(axis=1) for p in points[s]], axis=0)
+                    gap = sign * np.min([_square(x, np.array(p)) for p in points[s]], axis=0)
                     at = np.flatnonzero(gap == gap.max())
                     at = at[np.argmin(ids[at])]
                     top[s] = max(top.get(s, (-np.inf, 0, None)), (float(gap[at]), -int(ids[at]), x[at].tolist()), key=lambda t: t[:2])

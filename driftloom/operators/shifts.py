@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.functions.hashing import normal
-from driftloom.operators.sampling import mark_by_hash
+from driftloom.functions.hashing import hash_int, normal
+from driftloom.operators.sampling import mark_by_hash, place_by_hash
 
 
 def batch_moments(df: DataFrame, columns: list[str], by: str = "batch_id") -> DataFrame:
@@ -70,19 +70,16 @@ def prior_shift(df: DataFrame, ratio: float, seed: str, label: str = "y", by: st
 
     Each of a batch's slots draws, by hash, a place among the rows of its class; places are hash order within a class.
     """
-    from pyspark.sql import Window as W
-
-    from driftloom.functions.hashing import hash_int, rank_key
-
-    place = F.row_number().over(W.partitionBy(by, label).orderBy(rank_key(seed, "row_id"), "row_id")) - 1
-    pool = df.select(by, "row_id", label).withColumn("place", place)
+    pool = place_by_hash(df.select(by, "row_id", label), [by, label], seed, "place")
     sizes = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("n1"))
-    slots = sizes.select(by, "n", "n1", F.floor(F.col("n") * ratio).alias("want1"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot"))
+    # slots by thousands, so that no array holds all of a batch's
+    blocks = sizes.select(by, "n", "n1", F.floor(F.col("n") * ratio).alias("want1"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))).alias("block"))
+    slots = blocks.select(by, "n", "n1", "want1", F.explode(F.sequence(1000 * F.col("block"), F.least(1000 * F.col("block") + 999, F.col("n") - 1))).alias("slot"))
     slots = slots.withColumn(label, (F.col("slot") < F.col("want1")).cast("int"))
     among = F.when(F.col(label) == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1"))
     draw = hash_int(F.concat_ws(":", F.lit(f"{seed}s"), F.col(by).cast("string"), F.col("slot").cast("string")))
-    slots = slots.where(among > 0).withColumn("place", F.pmod(draw, among).cast("int"))
-    return slots.join(pool, [by, label, "place"]).select(by, "slot", "row_id", label)
+    slots = slots.where(among > 0).withColumn("place", F.pmod(draw, among))
+    return slots.join(pool, [by, label, "place"]).select(by, F.col("slot").cast("int").alias("slot"), "row_id", label)
 
 
 #: The environment schedule: what each batch undergoes, in order.

@@ -45,7 +45,7 @@ class TaskSpec:
 def infer_task_type(df: DataFrame, target: str, most: int = 15) -> tuple[str, object]:
     """Task type and positive label: two values (or a boolean) are classes, floating point or many values a regression."""
     kind = df.schema[target].dataType
-    row = df.agg(F.count_distinct(target).alias("u"), F.max(target).alias("top")).first()
+    row = df.agg(F.count_distinct(F.col(f"`{target}`")).alias("u"), F.max(F.col(f"`{target}`")).alias("top")).first()
     u = row["u"]
     if u == 2 or (u <= 2 and isinstance(kind, T.BooleanType)):
         return "binary_classification", row["top"] if u == 2 else 1
@@ -58,10 +58,10 @@ def infer_roles(df: DataFrame, skip: set[str], few: int = 4) -> DataFrame:
     """One row per column: its role, categorical for what is no number and for integers of at most ``few`` values, and its
     distinct values, all counted in one aggregation."""
     fields = [f for f in df.schema.fields if f.name not in skip]
-    counts = df.agg(*(F.count_distinct(f.name).alias(f.name) for f in fields))
+    counts = df.agg(*(F.count_distinct(F.col(f"`{f.name}`")).alias(f.name) for f in fields))
     integer = {f.name: isinstance(f.dataType, _INTEGERS) for f in fields}
     number = {f.name: isinstance(f.dataType, _NUMBERS) for f in fields}
-    rows = counts.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n_distinct"), F.lit(integer[f.name]).alias("i"), F.lit(number[f.name]).alias("f")) for f in fields))).alias("r")).select("r.*")
+    rows = counts.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("n_distinct"), F.lit(integer[f.name]).alias("i"), F.lit(number[f.name]).alias("f")) for f in fields))).alias("r")).select("r.*")
     role = F.when(~F.col("f") | (F.col("i") & (F.col("n_distinct") <= few)), "categorical").otherwise("numerical")
     return rows.select("column", "n_distinct", role.alias("role"))
 

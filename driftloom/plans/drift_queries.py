@@ -11,6 +11,7 @@ from driftloom.operators import drift, linear, metrics, policy, sampling, shifts
 from driftloom.plans.sqltext import solve, sql
 from driftloom.plans.sqltext import r6 as R
 from driftloom.sources import streams
+from driftloom.sources.stored import stored
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -28,11 +29,12 @@ def query(oracle: str | None = None):
 
 
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shifts.environment_stream(streams.events(spark, sf_dir))
+    """The shifted stream, written once for all that reads it."""
+    return stored(shifts.environment_stream(streams.events(spark, sf_dir)), "shifted")
 
 
 def reference(stream: DataFrame) -> DataFrame:
-    return drift.reference_sample(stream.where("batch_id = 0"))
+    return stored(drift.reference_sample(stream.where("batch_id = 0")), "reference")
 
 
 def _sides(spark, sf_dir):
@@ -265,11 +267,11 @@ def subgroup_fairness(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return sampling.holdout_split(streams.lineitems(spark, sf_dir))
+    return stored(sampling.holdout_split(streams.lineitems(spark, sf_dir)).select("batch_id", "row_id", "x", "y", "is_eval"), "split")
 
 
 def _stats(split: DataFrame) -> DataFrame:
-    return linear.sums(split.where("not is_eval"), ["batch_id"])
+    return stored(linear.sums(split.where("not is_eval"), ["batch_id"]), "sums")
 
 
 def _static(stats: DataFrame) -> DataFrame:
@@ -319,14 +321,17 @@ def cand_ridge(spark, sf_dir):
 
 
 def _prequential(spark, sf_dir) -> DataFrame:
-    """Hidden rows of each batch scored by each model after its update."""
+    """Hidden rows of each batch scored by each model after its update: one pass, beside a row of all models a batch."""
     split = _split(spark, sf_dir)
-    out = None
-    for name, m in _models(split).items():
-        scored = linear.predicted(split.where("is_eval"), m, ["batch_id"]).groupBy("batch_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0)))).alias("rmse"))
-        scored = scored.select(F.lit(name).alias("model"), "batch_id", "n", "rmse")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    models = _models(split)
+    beside = None
+    for name, m in models.items():
+        own = m.select("batch_id", F.col("slope").alias(f"b_{name}"), F.col("intercept").alias(f"a_{name}"))
+        beside = own if beside is None else beside.join(own, "batch_id")
+    error = lambda name: F.col("y") - F.col(f"a_{name}") - F.col(f"b_{name}") * F.col("x")
+    scored = split.where("is_eval").join(F.broadcast(beside), "batch_id")
+    scored = scored.groupBy("batch_id").agg(F.count("*").alias("n"), *(F.sqrt(F.avg(error(name) * error(name))).alias(name) for name in models))
+    return scored.unpivot(["batch_id", "n"], list(models), "model", "rmse").select("model", "batch_id", "n", "rmse")
 
 
 @query(sql(f"SELECT model, batch_id, n, {R('rmse')} AS rmse FROM pq", "pq"))

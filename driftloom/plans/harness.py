@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -67,47 +68,62 @@ def stream(spark: SparkSession, family: str, batch: int, seed: int) -> DataFrame
     values = [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(c) - F.col(f"z_{c}.m")) / F.col(f"z_{c}.s"))) for c in numeric]
     values += [F.when(hash_bin(c) == i, 1.0).otherwise(0.0) for c in categories for i in range(16)]
     out = df.join(F.broadcast(stats)).join(key, ["batch_id", "row_id"])  # one row of statistics
-    return out.select(F.lit(family).alias("dataset"), F.lit(task).alias("task"), F.lit(seed).alias("seed"), "batch_id", "row_id", "is_eval", F.array(*values).alias("features"), F.col("target").cast("double").alias("y"))
+    group = F.col("subgroup_id") if "subgroup_id" in df.columns else F.lit("")
+    return out.select(F.lit(family).alias("dataset"), F.lit(task).alias("task"), F.lit(seed).alias("seed"), "batch_id", "row_id", "is_eval", group.alias("subgroup"), F.array(*values).alias("features"), F.col("target").cast("double").alias("y"))
 
 
-_RESULT = "dataset string, task string, seed int, model string, batch_id int, n_update int, n_eval int, perf double, brier double, retention double, seconds double, severity string, rate double, specialist_weight double, anchor_trees int, specialist_trees int, replay_rows int"
+_RESULT = "dataset string, task string, seed int, model string, batch_id int, n_update int, n_eval int, perf double, accuracy double, f1 double, brier double, ece double, gap double, retention double, seconds double, state_bytes long, severity string, rate double, specialist_weight double, anchor_trees int, specialist_trees int, replay_rows int"
+#: What a clock measures, or the machine: not the same in any two runs.
+MEASURED = ("seconds", "state_bytes")
 
 
 def _batches(part: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
     out = []
     for _, b in part.sort_values(["batch_id", "row_id"]).groupby("batch_id"):
         x, y, hidden = np.stack(b["features"].to_numpy()).astype(float), b["y"].to_numpy(float), b["is_eval"].to_numpy(bool)
-        out.append((x[~hidden], y[~hidden], x[hidden], y[hidden]))
+        out.append((x[~hidden], y[~hidden], x[hidden], y[hidden], b["subgroup"].to_numpy(str)[hidden]))
     return out
 
 
-def run_grid(spark: SparkSession, families: list[str], seeds: list[int], models: list[str], batch: int) -> DataFrame:
-    """A row per stream, model and batch. Streams and models are independent groups; a group is six bounded batches."""
+def run_grid(spark: SparkSession, families: list[str], seeds: list[int], models: list[str] | dict[str, Callable], batch: int) -> DataFrame:
+    """A row per stream, model and batch. Streams and models are independent groups; a group is six bounded batches.
+
+    ``models`` are names of learners, or names with callables that make any learner from task and seed.
+    """
     ship(spark)
+    made = models if isinstance(models, dict) else {name: name for name in models}
     with ThreadPoolExecutor(4) as pool:  # streams are built by jobs of their own, side by side
         built = list(pool.map(lambda k: stream(spark, k[0], batch, k[1]), [(f, s) for f in families for s in seeds]))
     rows = stored(reduce(DataFrame.unionByName, built), "grid")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         head = part.iloc[0]
-        out = pd.DataFrame(lifecycle.prequential(_batches(part), head["task"], head["model"], int(head["seed"])))
+        out = pd.DataFrame(lifecycle.prequential(_batches(part), head["task"], made[head["model"]], int(head["seed"])))
         for c in ("dataset", "task", "seed", "model"):
             out[c] = head[c]
         return out
 
-    return rows.withColumn("model", F.explode(F.array(*map(F.lit, models)))).groupBy("dataset", "seed", "model").applyInPandas(run, _RESULT)
+    return rows.withColumn("model", F.explode(F.array(*map(F.lit, made)))).groupBy("dataset", "seed", "model").applyInPandas(run, _RESULT)
 
 
-def summarize(results: DataFrame) -> DataFrame:
-    """Per model: runs, score (mean and deviation), mean and worst shifted performance, degradation, retention, seconds per update."""
+def runs(results: DataFrame) -> DataFrame:
+    """Per stream and model: score, shifted performance, degradation, retention, calibration, fairness, time and memory."""
     keyed = results.withColumn("key", F.concat_ws("/", "dataset", "seed", "model"))
     robust = metrics.robustness(keyed.select(F.col("key").alias("model"), "batch_id", "perf")).withColumnRenamed("model", "key")
-    more = keyed.groupBy("key", "model").agg(F.avg("brier").alias("brier"), F.avg("seconds").alias("seconds"), F.max_by("retention", "batch_id").alias("retention"))
-    score = metrics.multi_objective(F.col("mean_shifted"), F.col("max_degradation"), F.col("brier"), None, F.col("seconds"))
-    runs = robust.join(more, "key").withColumn("score", score)
-    return runs.groupBy("model").agg(
-        F.count("*").alias("runs"), F.avg("score").alias("score_mean"), F.stddev_samp("score").alias("score_std"), F.avg("mean_shifted").alias("mean_shifted"),
-        F.avg("worst_shifted").alias("worst_shifted"), F.avg("max_degradation").alias("max_degradation"), F.avg("retention").alias("retention"), F.avg("seconds").alias("seconds"),
+    more = keyed.groupBy("key", "dataset", "task", "seed", "model").agg(
+        F.avg("brier").alias("brier"), F.avg("ece").alias("ece"), F.avg("gap").alias("gap"), F.avg("seconds").alias("seconds"), F.sum("seconds").alias("seconds_total"),
+        F.max("state_bytes").alias("state_bytes"), F.max_by("retention", "batch_id").alias("retention"),
+    )
+    score = metrics.multi_objective(F.col("mean_shifted"), F.col("max_degradation"), F.col("brier"), F.col("gap"), F.col("seconds"))
+    out = robust.join(more, "key").withColumn("score", score)
+    return out.select("dataset", "task", "seed", "model", "score", "mean_shifted", "worst_shifted", "max_degradation", "retention", "brier", "ece", "gap", "seconds", "seconds_total", "state_bytes")
+
+
+def summarize(results: DataFrame) -> DataFrame:
+    """Per model: runs, score (mean and deviation), and the means of what ``runs`` has."""
+    return runs(results).groupBy("model").agg(
+        F.count("*").alias("runs"), F.avg("score").alias("score_mean"), F.stddev_samp("score").alias("score_std"),
+        *(F.avg(c).alias(c) for c in ("mean_shifted", "worst_shifted", "max_degradation", "retention", "brier", "ece", "gap", "seconds", "state_bytes")),
     )
 
 
@@ -140,25 +156,36 @@ def _trees(spark: SparkSession, later: bool) -> DataFrame:
     return rows.groupBy("dataset").applyInPandas(fit, "dataset string, tree_id int, node_id int, feature int, threshold double, left int, right int, value double")
 
 
+#: Seeds and batch sizes of the reference's three studies.
+BENCH_SEEDS, STUDY_SEEDS = (42, 101, 777), (42, 101)
+BENCH_BATCH, ABLATION_BATCH, CANDIDATE_BATCH = 1000, 1000, 800
+
+
 def lifecycle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Initialisation and five updates of the adaptive learner on each family."""
-    return run_grid(spark, list(FAMILIES), [42], ["adaptive"], 500).drop("seconds")
+    return run_grid(spark, list(FAMILIES), [42], ["adaptive"], 500).drop(*MEASURED)
+
+
+def ablations(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = STUDY_SEEDS, batch: int = ABLATION_BATCH) -> DataFrame:
+    """The adaptive learner and five versions of it without one part, on all families, by model."""
+    return summarize(run_grid(spark, list(FAMILIES), list(seeds), list(lifecycle.ABLATIONS), batch))
 
 
-def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize(run_grid(spark, ["gen_family1", "gen_family2"], [42], list(lifecycle.ABLATIONS), 500))
+def candidates(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = STUDY_SEEDS, batch: int = CANDIDATE_BATCH) -> DataFrame:
+    """The three candidates and the adaptive learner side by side, on all families, by model."""
+    return summarize(run_grid(spark, list(FAMILIES), list(seeds), [*lifecycle.CANDIDATES, "adaptive"], batch))
 
 
-def candidates(name: str):
+def candidate(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_grid(spark, ["gen_family1", "gen_family2"], [42], [name], 500).drop("seconds")
+        return run_grid(spark, list(FAMILIES), list(STUDY_SEEDS), [name], CANDIDATE_BATCH).drop(*MEASURED)
 
     return run
 
 
-def bench_grid(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def bench_grid(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = BENCH_SEEDS, batch: int = BENCH_BATCH) -> DataFrame:
     """All families, the adaptive learner and its baselines, by model."""
-    return summarize(run_grid(spark, list(FAMILIES), list(seeds), ["adaptive", *lifecycle.BASELINES], 500))
+    return summarize(run_grid(spark, list(FAMILIES), list(seeds), ["adaptive", *lifecycle.BASELINES], batch))
 
 
-Q = {"gbt_fit": gbt_fit, "gbt_incremental": gbt_incremental, "lifecycle": lifecycle_query, "ablations": ablations, "cand_mlp": candidates("mlp"), "cand_booster": candidates("booster"), "bench_grid": bench_grid}
+Q = {"gbt_fit": gbt_fit, "gbt_incremental": gbt_incremental, "lifecycle": lifecycle_query, "ablations": ablations, "candidates": candidates, "cand_mlp": candidate("mlp"), "cand_booster": candidate("booster"), "bench_grid": bench_grid}

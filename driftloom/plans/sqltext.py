@@ -162,3 +162,46 @@ def sql(select: str, *names: str) -> str:
     for n in names:
         add(n)
     return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" if order else "") + select
+
+
+def family_sql(name: str, rows: int = 1000, seed: int = 42) -> str:
+    """A synthetic family by its definition, numbers to six digits."""
+    k = int(name[-1])
+    u, z = (lambda i: unif(f"f{k}.{seed}.{i}")), (lambda i: norm(f"f{k}.{seed}.{i}"))
+    sigmoid = lambda x: f"(1.0 / (1.0 + exp(-({x}))))"
+    number = lambda names: ", ".join(f"{r6(c)} AS {c}" for c in names)
+
+    def case(seed_: str, bounds: list[tuple[str, float]]) -> str:
+        return "CASE " + " ".join(f"WHEN {u(seed_)} < {b!r} THEN '{n}'" for n, b in bounds[:-1]) + f" ELSE '{bounds[-1][0]}' END"
+
+    if k == 1:
+        names = [f"x_{i}" for i in range(10)]
+        columns = ", ".join(f"{u(i)} AS x_{i}" for i in range(10))
+        target = f"10.0 * sin(pi() * x_0 * x_1) + 20.0 * pow(x_2 - 0.5, 2.0) + 10.0 * x_3 + 5.0 * x_4 + 0.5 * {z('e')}"
+        last = f"{number(names)}, {r6(target)} AS target"
+    elif k == 2:
+        names = [f"feat_{i}" for i in range(12)]
+        columns = ", ".join(f"{z(i)} AS feat_{i}" for i in range(12))
+        margin = f"1.5 * feat_0 - 2.0 * feat_1 + 3.0 * feat_2 * feat_3 - 1.2 * feat_4 * feat_4 + 0.4 * {z('e')}"
+        last = f"{number(names)}, CAST({u('u')} < {sigmoid(margin)} AS INTEGER) AS target"
+    elif k == 3:
+        names = [f"dim_{i}" for i in range(40)]
+        columns = f"{z(0)} AS dim_0, " + ", ".join(f"0.5 * dim_{i - 1} + sqrt(0.75) * {z(i)} AS dim_{i}" for i in range(1, 40))
+        target = f"4.0 * dim_2 - 3.5 * dim_7 + 2.0 * dim_15 - 2.5 * dim_25 + 5.0 * dim_38 + {z('e')}"
+        last = f"{number(names)}, {r6(target)} AS target"
+    elif k == 4:
+        names = [f"num_{i}" for i in range(8)]
+        columns = ", ".join(f"{z(i)} AS num_{i}" for i in range(8))
+        columns += f", {case('t', [('Alpha', 0.4), ('Beta', 0.4 + 0.3), ('Gamma', 0.4 + 0.3 + 0.2), ('Delta', 1.0)])} AS cat_tier"
+        columns += f", {case('z', [('North', 0.25), ('South', 0.5), ('East', 0.75), ('West', 1.0)])} AS cat_zone"
+        columns += f", {case('g', [('Group_0', 0.5), ('Group_1', 0.5 + 0.3), ('Group_2', 1.0)])} AS subgroup_id"
+        weight = "CASE cat_tier WHEN 'Alpha' THEN 1.5 WHEN 'Beta' THEN 0.5 WHEN 'Gamma' THEN -0.8 ELSE -1.8 END"
+        margin = f"1.8 * num_0 - 1.4 * num_1 + 0.8 * num_2 * num_3 + {weight} + 0.5 * {z('e')}"
+        last = f"{number(names)}, cat_tier, cat_zone, subgroup_id, CAST({u('u')} < {sigmoid(margin)} AS INTEGER) AS target"
+    else:
+        names = [f"var_{i}" for i in range(10)]
+        columns = ", ".join(f"4.0 * {u(i)} - 2.0 AS var_{i}" for i in range(10))
+        size = "sqrt(var_0 * var_0 + var_1 * var_1 + var_2 * var_2)"
+        target = f"3.0 * tanh(var_0) + 2.0 * var_1 - 1.5 * var_2 * var_2 + {z('e')} * (0.3 + 0.5 * {size})"
+        last = f"{number(names)}, {r6(target)} AS target"
+    return f"SELECT row_id, {last} FROM (SELECT row_id, {columns} FROM (SELECT unnest(range(0, {rows})) AS row_id))"

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from driftloom.functions.hashing import hash_bin, rank_key
 from driftloom.functions.numeric import clean, missing, r6
 from driftloom.operators import encode, sampling, shifts, spec
-from driftloom.plans.sqltext import QS, hash_rank, norm, sql
+from driftloom.operators.policy import training_sizes
+from driftloom.plans.sqltext import QS, family_sql, hash_rank, norm, sql
 from driftloom.plans.sqltext import hash_bin as sql_bin
 from driftloom.plans.sqltext import r6 as R
 from driftloom.sources import generators, streams
@@ -48,14 +49,15 @@ def scan_batches(spark, sf_dir):
 
 def _family(name):
     def run(spark, sf_dir):
-        return generators.FAMILIES[name](spark, 1000)
+        out = generators.FAMILIES[name](spark, 1000)
+        return out.select(*(r6(f.name).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name) for f in out.schema.fields))
 
     run.__name__ = name
     return run
 
 
 for _name in generators.FAMILIES:
-    query()(_family(_name))
+    query(family_sql(_name))(_family(_name))
 
 
 @query(sql(f"SELECT row_id, batch_id, env, {R('x0')} AS x0, {R('x1')} AS x1, {R('x2')} AS x2, {R('y')} AS y FROM sh", "sh"))
@@ -318,16 +320,14 @@ def replay_mix_counts(spark, sf_dir):
     w = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)  # a row per batch
     b = streams.events(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     rep, n = F.least(F.lit(500), F.col("before")), F.col("n")
-    special = F.when(F.col("before") > 0, F.least(rep, F.greatest(F.lit(8), F.floor(n * 0.35)))).otherwise(0)
-    anchor = F.when(F.col("before") > 0, F.greatest(F.lit(8), F.least(n, F.floor(n * max(0.10, 0.20 * 0.6))))).otherwise(F.greatest(F.lit(8), F.floor(n * 0.5)))
+    special, anchor = training_sizes(n, rep, 0.35, 0.6)
     return b.select("batch_id", "n", rep.alias("n_replay"), special.cast("long").alias("specialist_replay"), anchor.cast("long").alias("anchor_current"))
 
 
 @query(sql("SELECT t AS batch_id, row_id FROM (SELECT b.batch_id AS t, e.row_id, row_number() OVER (PARTITION BY b.batch_id ORDER BY e.batch_id DESC, e.row_id DESC) AS k FROM (SELECT DISTINCT batch_id FROM ev) b JOIN ev e ON e.batch_id <= b.batch_id) WHERE k <= 100", "ev"))
 def fifo_replay(spark, sf_dir):
     e = streams.events(spark, sf_dir)
-    w = W.partitionBy("batch_id").orderBy(F.desc("row_id"))
-    own = e.select("batch_id", "row_id").withColumn("k", F.row_number().over(w)).where("k <= 100").drop("k")
+    own = sampling.last_rows(e.select("batch_id", "row_id"), ["batch_id"], 100)
     later = own.select(F.col("batch_id").alias("t")).distinct()
     k = F.row_number().over(W.partitionBy("t").orderBy(F.desc("batch_id"), F.desc("row_id")))
     return own.join(F.broadcast(later), F.col("batch_id") <= F.col("t")).withColumn("k", k).where("k <= 100").select(F.col("t").alias("batch_id"), "row_id")

@@ -22,6 +22,25 @@ def test_psi_golden(spark):
     assert drift.psi(hist, ref, ["batch_id"], ["feature"]).first()["psi"] == pytest.approx(0.169452, abs=1e-6)
 
 
+@pytest.mark.parametrize("bins", [5, 20])
+def test_bins_of_any_number(spark, bins):
+    """Every value is in a bin, whatever their number; edges of more bins than named are an error."""
+    x, y = RNG.normal(size=(300, 2)), RNG.normal(size=(1000, 2)) * 0.7
+    config, names = drift.DriftConfig(bins=bins), ["c0", "c1"]
+    cur, ref = drift.long_form(frame(spark, y).withColumn("batch_id", F.lit(1)), ["batch_id"], names), drift.long_form(frame(spark, x), [], names)
+    edges = drift.reference_summary(ref, bins=bins)
+    hist = drift.histogram(ref, edges, ["feature"], ["feature"], bins).toPandas()
+    for j, name in enumerate(names):
+        e = np.array(edges.where(F.col("feature") == name).first()["edges"])
+        assert hist[hist["feature"] == name].sort_values("bin")["c"].tolist() == np.histogram(x[:, j], e)[0].tolist()
+        assert hist[hist["feature"] == name]["c"].sum() == 300
+    got = {r["feature"]: r["score"] for r in drift.feature_scores(cur, ref, ["batch_id"], ["feature"], config).collect()}
+    for j, name in enumerate(names):
+        assert got[name] == pytest.approx(lifecycle.feature_score(x[:, j], y[:, j], config), abs=1e-6)
+    with pytest.raises(Exception, match="more than 3 bins"):
+        drift.histogram(ref, edges, ["feature"], ["feature"], 3).collect()
+
+
 def test_cusum_golden(spark):
     b = spark.createDataFrame([(1, 100, 0.1), (2, 100, 0.4)], "batch_id int, n long, z double")
     rows = {r["batch_id"]: r for r in drift.cusum(b).collect()}

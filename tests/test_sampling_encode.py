@@ -110,3 +110,18 @@ def test_infer(spark):
     assert spec.infer_task_type(df, "f")[0] == "binary_classification" and spec.infer_task_type(df, "k")[0] == "regression"
     with pytest.raises(ValueError):
         spec.TaskSpec("ranking")
+
+
+def test_last_rows_and_shares(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("batch_id"), (F.col("id") * F.col("id") * 7919 - 10**12).alias("row_id"), F.lit("k").alias("_at"))
+    for n in (1, 100, 5000):
+        got = sampling.last_rows(rows.drop("_at"), ["batch_id"], n, ranges=16).groupBy("batch_id").agg(F.collect_list("row_id").alias("r")).collect()
+        every = rows.toPandas()
+        for r in got:
+            own = sorted(every[every["batch_id"] == r["batch_id"]]["row_id"])
+            assert sorted(r["r"]) == own[-n:]
+    one = spark.range(4).select(F.lit(0).alias("batch_id"), F.lit(7).cast("long").alias("row_id"))
+    assert sampling.last_rows(one.limit(1), ["batch_id"], 3).count() == 1 and sampling.last_rows(one.where("false"), ["batch_id"], 3).count() == 0
+    assert sampling.shares(10, 3).tolist() == [4, 3, 3] and sampling.shares(2, 3).tolist() == [1, 1, 0] and sampling.shares(9, 3).tolist() == [3, 3, 3]
+    at = spark.range(3).select(sampling.quota(10, F.lit(3), F.col("id")).alias("q")).collect()
+    assert [r["q"] for r in at] == [4, 3, 3]

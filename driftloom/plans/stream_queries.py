@@ -350,8 +350,26 @@ def fps_seed(spark, sf_dir):
     return e.join(centre, "label").groupBy("label").agg(F.min_by("vec_id", F.struct(d, F.col("vec_id"))).alias("vec_id"))
 
 
-@query()
+def _farthest_sql(capacity: int = 60, picks: int = 6, width: int = 64) -> str:
+    """Greedy farthest points, a step for each pick: as many as ten strata have."""
+    apart = f"list_sum(list_transform(range(1, {width} + 1), lambda i: pow(x[i] - p[i], 2)))"
+    parts = [
+        "e AS (SELECT vec_id, CAST(label AS INTEGER) AS s, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL)",
+        f"q AS (SELECT s, n, {capacity} // c + CASE WHEN k < {capacity} % c THEN 1 ELSE 0 END AS want FROM (SELECT s, count(*) AS n, count(*) OVER () AS c, row_number() OVER (ORDER BY s) - 1 AS k FROM e GROUP BY s))",
+        f"m AS (SELECT s, list(v ORDER BY i) AS p FROM (SELECT s, i, avg(v) AS v FROM (SELECT s, unnest(range(1, {width} + 1)) AS i, unnest(x) AS v FROM e) GROUP BY s, i) GROUP BY s)",
+        f"d0 AS (SELECT vec_id, s, x, -{apart} AS gap FROM e JOIN m USING (s))",
+    ]
+    for k in range(picks):
+        parts.append(f"k{k} AS (SELECT s, arg_max(vec_id, (gap, -vec_id)) AS vec_id, arg_max(x, (gap, -vec_id)) AS p FROM d{k} GROUP BY s)")
+        parts.append(f"d{k + 1} AS (SELECT d.vec_id, s, x, {'least(gap, ' + apart + ')' if k else apart} AS gap FROM d{k} d JOIN k{k} USING (s))")
+    chosen = " UNION ALL ".join(f"SELECT s, vec_id, {k} AS pick FROM k{k}" for k in range(picks))
+    parts.append(f"c AS (SELECT vec_id, s, pick FROM ({chosen}) JOIN q USING (s) WHERE n > want AND pick < want UNION ALL SELECT vec_id, s, row_number() OVER (PARTITION BY s ORDER BY vec_id) - 1 FROM e JOIN q USING (s) WHERE n <= want)")
+    return f"WITH {', '.join(parts)} SELECT CAST(vec_id AS BIGINT) AS row_id, s AS stratum, CAST(pick AS BIGINT) AS pick FROM c"
+
+
+@query(_farthest_sql())
 def fps_select(spark, sf_dir):
+    """Sixty vectors, farthest from one another in each label."""
     e = streams.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("stratum"), F.col("embedding").alias("features"))
     return sampling.select_farthest(e, 60)
 

@@ -171,11 +171,18 @@ def _keys(fp: F.Column) -> F.Column:
     return F.array(*out)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges`` (a, b) is the end of one edge, or the root of some, and not both."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("to")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.min("e.to").alias("low"), F.max("e.to").alias("high"), F.max(F.col("e.to").isNull()).alias("root"))
+    return nodes.where("low is not null and (low <> high or root)").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest node reachable from each node of ``edges`` (a, b), by large-star and small-star rounds.
 
     Every round is two aggregations by node with map-side partial minima; nothing is collected. Rounds are written to
-    the shared folder, and end when a round changes nothing.
+    the shared folder, and end when the edges are stars.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -187,15 +194,12 @@ def components(edges: DataFrame) -> DataFrame:
             moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    now, before = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
-    while True:
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before:
-            return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        before = mark
-        now = stored(star(star(now, True), False), "edges")
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _is_stars(now):
+        now = stored(star(star(now, True), False).distinct(), "edges")
+    return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
 def linked(fps: DataFrame, budget: int = 3) -> DataFrame:

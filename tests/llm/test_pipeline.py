@@ -29,10 +29,13 @@ def test_stages(spark, tmp_path):
     good = seen[names[0]]
     assert len([i for i in good if i < 150 and i % 5]) >= 115 and len([i for i in good if i < 150 and i % 5 == 0]) <= 2
     assert 500 not in seen[names[1]] and 1 in seen[names[1]]
-    if 501 in seen[names[2]]:
-        assert passage not in seen[names[2]][501]["text"]
-    if 502 in seen[names[3]]:
-        assert "[SECRET]" in seen[names[3]][502]["text"]
+    # on all documents, whatever the stages before kept
+    every = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = {r["doc_id"]: r["text"] for r in every.collect()}
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_benchmark(spark, every, str(tmp_path)).collect()}
+    assert cut.keys() == before.keys() and passage not in cut[501] and {i for i in cut if cut[i] != before[i]} == {501}
+    hidden = {r["doc_id"]: r["text"] for r in corpus_pipeline.hide_secrets(spark, every, str(tmp_path)).collect()}
+    assert hidden[502].endswith("again [SECRET]") and {i for i in hidden if hidden[i] != before[i]} == {502}
     assert seen[names[4]].keys() == seen[names[3]].keys() and all(r["n_tokens"] == len(r["ids"]) for r in seen[names[4]].values())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import as_bytes, bucket_of, chunks, labelled_sample, ship
+from driftloom.llm.common import as_bytes, bucket_of, chunks, ship, stored
 
 #: What a written character can stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -25,13 +25,14 @@ _HEAD, _TAIL = "\"'([{<|.,;:*#", ".,;:?\"')]}>|"
 _SPACED = re.compile(r"(?<!\S)[^\s.\-_*](?:[ \t.\-_*]{1,3}[^\s.\-_*]){2,}(?!\S)")
 #: Longer tokens are not remembered, so that a worker's memory is bounded by the number of remembered ones.
 _LONG = 64
+#: Keys that a worker counts before it hands the counts on.
+_KEYS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that are learned from. Costs are log probabilities of the channel."""
+    """Costs are log probabilities of the channel."""
 
-    sample: int = 6000
     kept: float = -0.05
     leet: float = -2.0
     repeat: float = -1.5
@@ -48,18 +49,39 @@ def bare(token: str) -> str:
     return token[:end].lstrip(_HEAD)
 
 
+def own_words(text: str) -> set[str]:
+    """The distinct cores of a text's tokens."""
+    return {m[0] for w in set(text.lower().split()) if (m := _CORE.search(w))}
+
+
+def trigrams(word: str, n: int) -> Iterator[tuple[str, int]]:
+    """A word's character trigrams with its bounds, each with the weight of a word seen ``n`` times, in millionths."""
+    t, weight = f"^^{word}$", round(1e6 * (1 + math.log(n)))
+    for i in range(2, len(t)):
+        yield t[i - 2 : i + 1], weight
+
+
+def evidence(k: int, j: int, n0: int, n1: int, bar: float) -> float | None:
+    """Log odds of a feature in ``k`` of ``n1`` toxic and ``j`` of ``n0`` other texts, if it tells more than chance."""
+    if not k:
+        return None
+    share = (k + j) / (n0 + n1)
+    gain = 2 * (k * math.log(k / n1 / share) + (j * math.log(j / n0 / share) if j else 0))
+    # the lower end of the log odds: what few documents show counts less
+    odds = math.log((k - math.sqrt(k) / 2) / n1) - math.log((j + 0.5) / n0)
+    return odds if odds > 1 and gain > bar else None
+
+
 class CharModel:
-    """Interpolated character trigrams of words, with the word's bounds."""
+    """Interpolated character trigrams of words, with the word's bounds, from the trigrams' weights in millionths."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, weights: dict[str, int]):
         three, two, one = Counter(), Counter(), Counter()
-        for w, n in words.items():
-            t = f"^^{w}$"
-            n = 1 + math.log(n)
-            for i in range(2, len(t)):
-                three[t[i - 2 : i + 1]] += n
-                two[t[i - 1 : i + 1]] += n
-                one[t[i]] += n
+        for t, n in sorted(weights.items()):
+            n /= 1e6
+            three[t] += n
+            two[t[1:]] += n
+            one[t[2]] += n
         self.three, self.two, self.one, self.total = three, two, one, sum(one.values()) + 1
         self.under3, self.under2 = Counter(), Counter()
         for k, n in three.items():
@@ -160,46 +182,133 @@ class Toxicity:
         found = sorted((w for t in self.tokens(text) if (w := self.weight(t)) > 0), reverse=True)[:5] + [0.0] * 5
         return [found[0], found[1], sum(found[2:5])]
 
+    def strong(self, word: str, n: int) -> int:
+        """How often a word counts for the character model: words of the lexicon fifty times."""
+        return n * (50 if any(self.lexicon.get(f, 0) > 2 for f in self.features(word)) else 1)
+
+    def start(self, n0: int, n1: int) -> bool:
+        """Whether there are labels of both classes to learn from."""
+        self.constant = n1 / (n0 + n1) if n0 + n1 else 0.5
+        self.trained = bool(n0 and n1)
+        return self.trained
+
+    def newton(self, std: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit the logistic function; ``sums`` gives a weight vector's curvature and gradient over all texts."""
+        self.scale = std + 1e-6
+        w, ridge = np.zeros(len(std) + 1), np.diag([0.1] * len(std) + [0.0])
+        for _ in range(25):
+            curve, slope = sums(w)
+            step = np.linalg.solve(curve + ridge, slope + ridge @ w)
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
+        self.coefficients = w
+
     def fit(self, texts: list[str], labels: list[int]) -> Toxicity:
+        """Learn from a list. ``fit_all`` learns the same from tables."""
         y = np.array(labels, float)
-        self.constant = float(y.mean()) if len(y) else 0.5
-        self.trained = bool(0 < y.sum() < len(y))
-        if not self.trained:
+        if not self.start(n0 := int((y == 0).sum()), n1 := int(y.sum())):
             return self
-        s = self.settings
         words: Counter = Counter()
-        plain = []
-        for t in texts:
-            own = {m[0] for w in set(t.lower().split()) if (m := _CORE.search(w))}
-            plain.append(own)
-            words.update(w for w in own if w.isalpha())
         seen = [Counter(), Counter()]
-        for own, label in zip(plain, labels, strict=True):
+        for t, label in zip(texts, labels, strict=True):
+            own = own_words(t)
+            words.update(w for w in own if w.isalpha())
             seen[label].update({f for w in own for f in self.features(w)})
-        n0, n1 = len(y) - y.sum(), y.sum()
-        self.lexicon = {}
-        bar = 2 * math.log(len(seen[0] | seen[1]) + 1)  # what the best of so many features reaches by chance
-        for f, k in seen[1].items():
-            j = seen[0][f]
-            share = (k + j) / (n0 + n1)
-            gain = 2 * (k * math.log(k / n1 / share) + (j * math.log(j / n0 / share) if j else 0))
-            # the lower end of the log odds: what few documents show counts less
-            odds = math.log((k - math.sqrt(k) / 2) / n1) - math.log((j + 0.5) / n0)
-            if odds > 1 and gain > bar:
-                self.lexicon[f] = odds
-        strong = Counter({w: n * (50 if any(self.lexicon.get(f, 0) > 2 for f in self.features(w)) else 1) for w, n in words.items()})
-        self.chars = CharModel(strong)
+        bar = _bar(len(seen[0] | seen[1]))
+        self.lexicon = {f: odds for f, k in seen[1].items() if (odds := evidence(k, seen[0][f], n0, n1, bar)) is not None}
+        three: Counter = Counter()
+        for w, n in words.items():
+            for t, weight in trigrams(w, self.strong(w, n)):
+                three[t] += weight
+        self.chars = CharModel(three)
         x = np.array([self.vector(t) for t in texts])
-        self.scale = x.std(0) + 1e-6
-        x = np.column_stack([x / self.scale, np.ones(len(x))])
-        w, ridge = np.zeros(x.shape[1]), np.diag([0.1] * (x.shape[1] - 1) + [0.0])
-        for _ in range(25):
+        std = x.std(0)
+        x = np.column_stack([x / (std + 1e-6), np.ones(len(x))])
+
+        def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p = _sigmoid(x @ w)
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-            w = w - step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.coefficients = w
+            return (x * (p * (1 - p) + 1e-6)[:, None]).T @ x, x.T @ (p - y)
+
+        self.newton(std, sums)
+        return self
+
+    def fit_all(self, rows: DataFrame) -> Toxicity:
+        """Learn from every row of a stored table (text, y).
+
+        Counts are summed by key among the workers. To the driver come the lexicon (features of several toxic texts that
+        chance doesn't give), the distinct character trigrams, and sums of the logistic function.
+        """
+        spark = rows.sparkSession
+        sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+        if not self.start(n0, n1):
+            return self
+        features = self.features
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[tuple[bool, str], list[int]] = {}
+            for part in chunks(batches, "text"):
+                for text, y in zip(as_bytes(part, "text"), part.column(1).to_pylist(), strict=True):
+                    own = own_words(text.decode("utf-8", "replace"))
+                    for key in [*((True, w) for w in own if w.isalpha()), *((False, f) for f in {f for w in own for f in features(w)})]:
+                        seen.setdefault(key, [0, 0])[y] += 1
+                    if len(seen) > _KEYS:
+                        yield _counted(seen)
+                        seen = {}
+            yield _counted(seen)
+
+        counts = stored(rows.mapInArrow(count, "word boolean, key string, n0 long, n1 long").groupBy("word", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
+        bar = _bar(counts.where("not word").count())
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(f, odds) for f, j, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (odds := evidence(k, j, n0, n1, bar)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([o for _, o in found], pa.float64())], ["key", "odds"])
+
+        chosen = counts.where("not word and n1 > 0").select("key", "n0", "n1").mapInArrow(choose, "key string, odds double").toArrow()
+        self.lexicon = dict(zip(*(c.to_pylist() for c in chosen.columns), strict=True))
+        model = spark.sparkContext.broadcast(self)
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            three: Counter = Counter()
+            for batch in batches:
+                for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for t, weight in trigrams(w, model.value.strong(w, n)):
+                        three[t] += weight
+                    if len(three) > _KEYS:
+                        yield _weighed(three)
+                        three = Counter()
+            yield _weighed(three)
+
+        words = counts.where("word").select("key", (F.col("n0") + F.col("n1")).alias("n"))
+        three = words.mapInArrow(spell, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        self.chars = CharModel(dict(zip(*(c.to_pylist() for c in three.columns), strict=True)))
+        whole = spark.sparkContext.broadcast(self)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in chunks(batches, "text"):
+                x = np.array([whole.value.vector(t.decode("utf-8", "replace")) for t in as_bytes(part, "text")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), part.column(1)], ["x0", "x1", "x2", "y"])
+
+        points = rows.mapInArrow(measure, "x0 double, x1 double, x2 double, y int").groupBy("x0", "x1", "x2", "y").agg(F.count("*").alias("n"))
+        points = stored(points, "points")
+        xs = ["x0", "x1", "x2"]
+        r = points.agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("n") * F.col(c) * F.col(c)).alias(f"{c}_") for c in xs)).first()
+        mean = np.array([r[c] for c in xs]) / (n0 + n1)
+        std = np.sqrt(np.maximum(np.array([r[f"{c}_"] for c in xs]) / (n0 + n1) - mean**2, 0))
+        scaled = [*(F.col(c) / F.lit(float(s + 1e-6)) for c, s in zip(xs, std, strict=True)), F.lit(1.0)]
+
+        def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = sum((c * F.lit(float(v)) for c, v in zip(scaled, w, strict=True)), F.lit(0.0))
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+            curve = [F.sum(F.col("n") * (p * (1 - p) + 1e-6) * scaled[i] * scaled[j]) for i in range(4) for j in range(4)]
+            got = points.agg(*curve, *(F.sum(F.col("n") * (p - F.col("y")) * c) for c in scaled)).first()
+            return np.array(got[:16], float).reshape(4, 4), np.array(got[16:], float)
+
+        self.newton(std, sums)
+        model.unpersist()
+        whole.unpersist()
         return self
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -209,6 +318,19 @@ class Toxicity:
         return _sigmoid(np.column_stack([x / self.scale, np.ones(len(x))]) @ self.coefficients)
 
 
+def _bar(features: int) -> float:
+    return 2 * math.log(features + 1)  # what the best of so many features reaches by chance
+
+
+def _counted(seen: dict[tuple[bool, str], list[int]]) -> pa.RecordBatch:
+    columns = [[word for word, _ in seen], [key for _, key in seen], [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "key", "n0", "n1"])
+
+
+def _weighed(weights: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(weights), pa.string()), pa.array(list(weights.values()), pa.int64())], ["key", "n"])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -216,8 +338,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for each whole text.
 
-    Learns from at most ``settings.sample`` labelled rows whose crc32(doc_id) modulo ``folds`` is not 0, from their texts
-    alone: character model, lexicon of words and prefixes, and a logistic function of a document's strongest evidence.
+    Learns from all labelled rows whose crc32(doc_id) modulo ``folds`` is not 0, of an id once, from their texts alone: character model, lexicon of words and prefixes, and a logistic function of a document's strongest evidence.
     Null and empty texts are scored as texts without evidence; without labels of both classes every score is the share of
     label 1 (0.5 without any). A null doc_id is in the fold of the empty text. Repeated rows are each scored; of an id's
     contradicting labels the larger counts. Other columns are ignored.
@@ -225,8 +346,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     spark = docs.sparkSession
     ship(spark)
     settings = settings or Settings()
-    sample = labelled_sample(spark, docs, labels, "toxic", folds, settings.sample)
-    model = Toxicity(settings).fit([t for t, _ in sample], [y for _, y in sample])
+    ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
+    ids = ids.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (bucket_of(F.col("id"), folds) != 0)).groupBy("id").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "id")
+    rows = stored(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "labelled")
+    model = Toxicity(settings).fit_all(rows)
     model.memory.clear()
     shared = spark.sparkContext.broadcast(model)
 

@@ -82,6 +82,17 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, labels.where("false")).select("score").distinct().first()[0] == 0.5
 
 
+def test_toxicity_learns_from_every_label(spark):
+    rows = [(i, words("aa", 6) + (f" idiot{words('bb', 1)}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(9000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    own = [r["doc_id"] for r in docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).collect()]
+    assert len(own) > 6000
+    want = toxicity.Toxicity(toxicity.Settings()).fit([rows[i][1] for i in own], [rows[i][2] for i in own]).score([t for _, t, _ in rows])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert np.allclose([got[i] for i in range(len(rows))], want, atol=1e-6)
+
+
 def test_language(spark):
     langs = sorted(SYLLABLES)
     rows = [(i, words(langs[i % 3], 30), langs[i % 3]) for i in range(240)] + [(900, None, "aa"), (901, "123 !", "aa"), (902, "", None), (None, words("bb", 20), None), (1, words("bb", 20), "bb")]

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftloom.sources.stored import ship, stored
+from driftloom.sources.stored import let_go, ship, stored
 
-__all__ = ["SPACE", "WORD", "as_bytes", "beside", "bucket_of", "chunks", "labelled_sample", "partitions", "sampled", "ship", "stored", "table_path"]
+__all__ = ["SPACE", "WORD", "as_bytes", "beside", "bucket_of", "chunks", "labelled_sample", "let_go", "partitions", "sampled", "ship", "stored", "table_path"]
 
 #: Java pattern of one ASCII white-space character, and its complement a word.
 SPACE = r"[\x20\x09-\x0D]"

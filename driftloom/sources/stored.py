@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -58,6 +59,16 @@ def clear_stored(spark: SparkSession, keep: int = 0) -> int:
     return len(gone)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more.
+
+    Spark learns of them by the driver's garbage collection alone, which grows the heap before it looks through all of it. In
+    a loop what ended rounds leave would fill the driver's heap to its end and the executors' disks.
+    """
+    gc.collect()  # frames that only a cycle holds hold plans in the JVM
+    spark._jvm.System.gc()
+
+
 def marked() -> int:
     """How many tables are written now, for ``clear_stored``."""
     return len(_WRITTEN)

@@ -18,6 +18,8 @@ from driftloom.llm.common import as_bytes, bucket_of, chunks, ship, stored
 #: What a written character can stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 _CORE = re.compile(r"\w(?:.*\w)?", re.S)
+_TWICE = re.compile(r"(.)\1+", re.S)
+_LEET = re.compile(f"[{re.escape(''.join(LEET))}]")
 #: What a token may begin and end with beside its core.
 _HEAD, _TAIL = "\"'([{<|.,;:*#", ".,;:?\"')]}>|"
 #: Three or more single characters with one to three separators between; these are no characters themselves, so that the
@@ -25,8 +27,8 @@ _HEAD, _TAIL = "\"'([{<|.,;:*#", ".,;:?\"')]}>|"
 _SPACED = re.compile(r"(?<!\S)[^\s.\-_*](?:[ \t.\-_*]{1,3}[^\s.\-_*]){2,}(?!\S)")
 #: Longer tokens are not remembered, so that a worker's memory is bounded by the number of remembered ones.
 _LONG = 64
-#: Keys that a worker counts before it hands the counts on.
-_KEYS = 200_000
+#: Keys that a worker counts before it hands the counts on, and tokens whose keys it remembers.
+_KEYS, _KNOWN = 200_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,11 @@ def bare(token: str) -> str:
     return token[:end].lstrip(_HEAD)
 
 
+def skeleton(text: str) -> str:
+    """The letters of a text, one for each run of a letter."""
+    return _TWICE.sub(r"\1", text if text.isalpha() else "".join(filter(str.isalpha, text)))
+
+
 def own_words(text: str) -> set[str]:
     """The distinct cores of a text's tokens."""
     return {m[0] for w in set(text.lower().split()) if (m := _CORE.search(w))}
@@ -105,7 +112,12 @@ class CharModel:
 class Toxicity:
     def __init__(self, settings: Settings):
         self.settings = settings
+        self.forget()
+
+    def forget(self) -> None:
+        """Start without remembered tokens: the weights of those that have one, and those that have none."""
         self.memory: dict[str, float] = {}
+        self.blank: set[str] = set()
 
     # -- restoring -------------------------------------------------------------------------------------------------
 
@@ -147,7 +159,7 @@ class Toxicity:
     def readings(self, token: str) -> set[str]:
         """A token's plain core, and what it restores to if its lattice has more than one path."""
         core = bare(token)
-        if core.isalpha() and not re.search(r"(.)\1", core):
+        if core.isalpha() and not _TWICE.search(core):
             return {core}
         found = {m[0]} if (m := _CORE.search(core)) else set()
         if core and any(c.isalpha() or c in LEET for c in core) and not core.isdigit():
@@ -159,15 +171,39 @@ class Toxicity:
     def features(self, word: str) -> list[str]:
         return [word, *(f"{word[:n]}*" for n in self.settings.prefixes if len(word) >= n)]
 
+    def learned(self, lexicon: dict[str, float]) -> None:
+        """Take a lexicon, and the skeletons of what it holds that a token without look-alikes of letters can be read as."""
+        self.lexicon = lexicon
+        longest = max(self.settings.prefixes, default=1)
+        self.heads = {skeleton(f.removesuffix("*"))[:longest] for f in lexicon if not _LEET.search(f)}
+        self.lengths = sorted({len(h) for h in self.heads}, reverse=True)
+        self.forget()
+
+    def may(self, token: str) -> bool:
+        """Whether a reading of the token can be in the lexicon.
+
+        Without look-alikes a reading drops other characters and repeated ones only, and so has the token's skeleton; that
+        of a word or prefix in the lexicon is then one of its beginnings.
+        """
+        core = bare(token)
+        if _LEET.search(core):
+            return True
+        own, heads = skeleton(core), self.heads
+        return any(own[:n] in heads for n in self.lengths)
+
     def weight(self, token: str) -> float:
         """The strongest evidence among a token's readings."""
+        if token in self.blank:
+            return 0.0
         if (w := self.memory.get(token)) is None:
-            if len(self.memory) > 400_000:
-                self.memory.clear()
+            if len(self.memory) + len(self.blank) > 400_000:
+                self.forget()
             get = self.lexicon.get
-            w = max((get(f, 0.0) for r in self.readings(token) for f in self.features(r)), default=0.0)
-            if len(token) <= _LONG:
+            w = max((get(f, 0.0) for r in self.readings(token) for f in self.features(r)), default=0.0) if self.may(token) else 0.0
+            if len(token) <= _LONG and w > 0:
                 self.memory[token] = w
+            elif len(token) <= _LONG:
+                self.blank.add(token)
         return w
 
     def tokens(self, text: str) -> set[str]:
@@ -179,7 +215,7 @@ class Toxicity:
         return out
 
     def vector(self, text: str) -> list[float]:
-        found = sorted((w for t in self.tokens(text) if (w := self.weight(t)) > 0), reverse=True)[:5] + [0.0] * 5
+        found = sorted((w for t in self.tokens(text).difference(self.blank) if (w := self.weight(t)) > 0), reverse=True)[:5] + [0.0] * 5
         return [found[0], found[1], sum(found[2:5])]
 
     def strong(self, word: str, n: int) -> int:
@@ -205,7 +241,7 @@ class Toxicity:
         self.coefficients = w
 
     def fit(self, texts: list[str], labels: list[int]) -> Toxicity:
-        """Learn from a list. ``fit_all`` learns the same from tables."""
+        """Learn from a list. ``learn`` and ``fit_points`` learn the same from tables."""
         y = np.array(labels, float)
         if not self.start(n0 := int((y == 0).sum()), n1 := int(y.sum())):
             return self
@@ -216,7 +252,7 @@ class Toxicity:
             words.update(w for w in own if w.isalpha())
             seen[label].update({f for w in own for f in self.features(w)})
         bar = _bar(len(seen[0] | seen[1]))
-        self.lexicon = {f: odds for f, k in seen[1].items() if (odds := evidence(k, seen[0][f], n0, n1, bar)) is not None}
+        self.learned({f: odds for f, k in seen[1].items() if (odds := evidence(k, seen[0][f], n0, n1, bar)) is not None})
         three: Counter = Counter()
         for w, n in words.items():
             for t, weight in trigrams(w, self.strong(w, n)):
@@ -233,47 +269,59 @@ class Toxicity:
         self.newton(std, sums)
         return self
 
-    def fit_all(self, rows: DataFrame) -> Toxicity:
-        """Learn from every row of a stored table (text, y).
+    def learn(self, rows: DataFrame) -> bool:
+        """Learn lexicon and character model from every row of a stored table (text, y); False without both classes.
 
         Counts are summed by key among the workers. To the driver come the lexicon (features of several toxic texts that
-        chance doesn't give), the distinct character trigrams, and sums of the logistic function.
+        chance doesn't give) and the distinct character trigrams.
         """
         spark = rows.sparkSession
         sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
         if not self.start(n0, n1):
-            return self
+            return False
         features = self.features
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[tuple[bool, str], list[int]] = {}
+            # a token's features: its core, which is what words are counted by too, and the core's prefixes, which end in a star
+            known: dict[str, tuple[str, ...]] = {}
+
+            def keys(token: str) -> tuple[str, ...]:
+                if (found := known.get(token)) is None:
+                    found = tuple(features(m[0])) if (m := _CORE.search(token)) else ()
+                    if len(token) <= _LONG:
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        known[token] = found
+                return found
+
+            seen = Counter(), Counter()
             for part in chunks(batches, "text"):
                 for text, y in zip(as_bytes(part, "text"), part.column(1).to_pylist(), strict=True):
-                    own = own_words(text.decode("utf-8", "replace"))
-                    for key in [*((True, w) for w in own if w.isalpha()), *((False, f) for f in {f for w in own for f in features(w)})]:
-                        seen.setdefault(key, [0, 0])[y] += 1
-                    if len(seen) > _KEYS:
-                        yield _counted(seen)
-                        seen = {}
-            yield _counted(seen)
+                    seen[y].update(set().union(*map(keys, set(text.decode("utf-8", "replace").lower().split()))))
+                    if len(seen[0]) + len(seen[1]) > _KEYS:
+                        yield _counted(*seen)
+                        seen = Counter(), Counter()
+            yield _counted(*seen)
 
-        counts = stored(rows.mapInArrow(count, "word boolean, key string, n0 long, n1 long").groupBy("word", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
-        bar = _bar(counts.where("not word").count())
+        counts = stored(rows.select("text", "y").mapInArrow(count, "key string, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
+        bar = _bar(counts.count())
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [(f, odds) for f, j, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (odds := evidence(k, j, n0, n1, bar)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([o for _, o in found], pa.float64())], ["key", "odds"])
 
-        chosen = counts.where("not word and n1 > 0").select("key", "n0", "n1").mapInArrow(choose, "key string, odds double").toArrow()
-        self.lexicon = dict(zip(*(c.to_pylist() for c in chosen.columns), strict=True))
+        chosen = counts.where("n1 > 0").select("key", "n0", "n1").mapInArrow(choose, "key string, odds double").toArrow()
+        self.learned(dict(zip(*(c.to_pylist() for c in chosen.columns), strict=True)))
         model = spark.sparkContext.broadcast(self)
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             three: Counter = Counter()
             for batch in batches:
                 for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not w.isalpha():
+                        continue
                     for t, weight in trigrams(w, model.value.strong(w, n)):
                         three[t] += weight
                     if len(three) > _KEYS:
@@ -281,22 +329,19 @@ class Toxicity:
                         three = Counter()
             yield _weighed(three)
 
-        words = counts.where("word").select("key", (F.col("n0") + F.col("n1")).alias("n"))
+        words = counts.where(~F.col("key").endswith("*")).select("key", (F.col("n0") + F.col("n1")).alias("n"))
         three = words.mapInArrow(spell, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         self.chars = CharModel(dict(zip(*(c.to_pylist() for c in three.columns), strict=True)))
-        whole = spark.sparkContext.broadcast(self)
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "text"):
-                x = np.array([whole.value.vector(t.decode("utf-8", "replace")) for t in as_bytes(part, "text")])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), part.column(1)], ["x0", "x1", "x2", "y"])
+        model.unpersist()
+        return True
 
-        points = rows.mapInArrow(measure, "x0 double, x1 double, x2 double, y int").groupBy("x0", "x1", "x2", "y").agg(F.count("*").alias("n"))
-        points = stored(points, "points")
+    def fit_points(self, rows: DataFrame) -> Toxicity:
+        """Fit the logistic function to a table (x0, x1, x2, y) of vectors; its sums come to the driver."""
         xs = ["x0", "x1", "x2"]
-        r = points.agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("n") * F.col(c) * F.col(c)).alias(f"{c}_") for c in xs)).first()
-        mean = np.array([r[c] for c in xs]) / (n0 + n1)
-        std = np.sqrt(np.maximum(np.array([r[f"{c}_"] for c in xs]) / (n0 + n1) - mean**2, 0))
+        points = stored(rows.groupBy(*xs, "y").agg(F.count("*").alias("n")), "points")
+        r = points.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in xs), *(F.sum(F.col("n") * F.col(c) * F.col(c)).alias(f"{c}_") for c in xs)).first()
+        mean = np.array([r[c] for c in xs]) / r["n"]
+        std = np.sqrt(np.maximum(np.array([r[f"{c}_"] for c in xs]) / r["n"] - mean**2, 0))
         scaled = [*(F.col(c) / F.lit(float(s + 1e-6)) for c, s in zip(xs, std, strict=True)), F.lit(1.0)]
 
         def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,10 +352,15 @@ class Toxicity:
             return np.array(got[:16], float).reshape(4, 4), np.array(got[16:], float)
 
         self.newton(std, sums)
-        model.unpersist()
-        whole.unpersist()
         return self
 
+    def probability(self) -> F.Column:
+        """The score of a vector (x0, x1, x2)."""
+        z = F.lit(float(self.coefficients[3]))
+        for i in range(3):
+            z = z + F.col(f"x{i}") / F.lit(float(self.scale[i])) * F.lit(float(self.coefficients[i]))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.full(len(texts), self.constant)
@@ -322,9 +372,9 @@ def _bar(features: int) -> float:
     return 2 * math.log(features + 1)  # what the best of so many features reaches by chance
 
 
-def _counted(seen: dict[tuple[bool, str], list[int]]) -> pa.RecordBatch:
-    columns = [[word for word, _ in seen], [key for _, key in seen], [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "key", "n0", "n1"])
+def _counted(n0: Counter, n1: Counter) -> pa.RecordBatch:
+    keys = list(n0.keys() | n1.keys())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([n[k] for k in keys], pa.int64()) for n in (n0, n1))], ["key", "n0", "n1"])
 
 
 def _weighed(weights: Counter) -> pa.RecordBatch:
@@ -349,15 +399,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     ids = ids.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (bucket_of(F.col("id"), folds) != 0)).groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "id")
-    rows = stored(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "labelled")
-    model = Toxicity(settings).fit_all(rows)
-    model.memory.clear()
+    rows = stored(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y", "id", F.xxhash64("text").alias("mark")), "labelled")
+    model = Toxicity(settings)
+    held_out = (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out")
+    if not model.learn(rows):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", held_out, F.lit(float(model.constant)).alias("score"), F.lit(int(model.constant >= threshold)).alias("predicted"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            score = shared.value.score([t.decode("utf-8", "replace") for t in as_bytes(part, "text")])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            x = np.array([shared.value.vector(t.decode("utf-8", "replace")) for t in as_bytes(part, "text")])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x[:, i]) for i in range(3))], ["doc_id", "mark", "x0", "x1", "x2"])
+
+    # each text is read once: its vector serves the fit and the score
+    text = F.col("text").cast("string")
+    vectors = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    vectors = stored(vectors.mapInArrow(run, "doc_id long, mark long, x0 double, x1 double, x2 double"), "vectors")
+    shared.unpersist()
+    own = vectors.join(rows.select(F.col("id").alias("doc_id"), "mark", "y"), ["doc_id", "mark"])
+    own = own.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("x0", "x1", "x2", "y")))  # of equal rows one
+    model.fit_points(own)
+    scored = vectors.select("doc_id", held_out, model.probability().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -93,6 +93,20 @@ def test_toxicity_learns_from_every_label(spark):
     assert np.allclose([got[i] for i in range(len(rows))], want, atol=1e-6)
 
 
+def test_toxicity_restores_only_what_can_be_in_the_lexicon(monkeypatch):
+    model = toxicity.Toxicity(toxicity.Settings()).fit(["you idiot thing x_aab", "nice thing here", "you idiot x_aab m0ron2", "fine"] * 50, [1, 0, 1, 0] * 50)
+    tokens = {"".join(RNG.choices("idotxab_.-01!m(\"ß", k=RNG.randint(1, 9))) for _ in range(20_000)}
+    tokens |= {w[:k] + c * n + w[k:] for w in ("idiot", "youth", "x_aab", "m0ron2", "idiotic") for k in range(len(w) + 1) for c in "io.-_a!1" for n in (1, 2, 3)}
+    want = {t: max((model.lexicon.get(f, 0.0) for r in model.readings(t) for f in model.features(r)), default=0.0) for t in tokens}
+    assert {t: model.weight(t) for t in tokens} == want and 100 < sum(w > 0 for w in want.values()) < len(want)
+    called, restore = [], model.restore
+    monkeypatch.setattr(model, "restore", lambda token: called.append(token) or restore(token))
+    model.score(["balloon coffee, a-b see... nice thing"])
+    assert not called
+    model.score(["an id.io.t"])
+    assert called == ["id.io.t"]
+
+
 def test_language(spark):
     langs = sorted(SYLLABLES)
     rows = [(i, words(langs[i % 3], 30), langs[i % 3]) for i in range(240)] + [(900, None, "aa"), (901, "123 !", "aa"), (902, "", None), (None, words("bb", 20), None), (1, words("bb", 20), "bb")]
